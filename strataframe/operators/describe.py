@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from strataframe.operators.cohort import Cohort, HospitalTables, StudySpec
 from strataframe.functions.codes import code_in
@@ -20,7 +20,7 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 TOTAL = "Total"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
     """Fixed-point text, rounding half to even on the binary value; the JVM formatter rounds half up.
     Meant for report cells, a few dozen rows."""

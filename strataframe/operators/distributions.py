@@ -74,13 +74,13 @@ def kde(
     )
     fed = counts.join(plan, ["group", "variable"]).filter(F.col("bandwidth") > 0)
     partial = fed.mapInPandas(
-        _kernel_sums(grid), "group string, variable string, at int, x double, size long, bandwidth double, mass double"
+        _kernel_sums(grid), "group string, variable string, point int, x double, size long, bandwidth double, mass double"
     )
-    total = partial.groupBy("group", "variable", "at").agg(
+    total = partial.groupBy("group", "variable", "point").agg(
         F.max("x").alias("x"), F.max("size").alias("size"), F.max("bandwidth").alias("bw"), F.sum("mass").alias("mass")
     )
     scale = F.col("size") * F.col("bw") * F.sqrt(F.lit(2.0 * np.pi))
-    return total.select("group", "variable", "at", "x", (F.col("mass") / scale).alias("density"))
+    return total.select("group", "variable", "point", "x", (F.col("mass") / scale).alias("density"))
 
 
 def _kernel_sums(grid: int, block: int = 4_096):
@@ -103,7 +103,7 @@ def _kernel_sums(grid: int, block: int = 4_096):
                 {
                     "group": g,
                     "variable": v,
-                    "at": np.arange(grid, dtype="int32"),
+                    "point": np.arange(grid, dtype="int32"),
                     "x": xs,
                     "size": int(size),
                     "bandwidth": bandwidth,
