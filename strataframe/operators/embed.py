@@ -48,7 +48,8 @@ def hashing_encoder(width: int = WIDTH, max_tokens: int | None = None) -> Encode
             out = np.zeros((len(texts), width), dtype=np.float32)
             for i, text in enumerate(np.asarray(texts).ravel()):
                 tokens = [t for t in re.split(r"[ \t\n\r\f\v]+", text) if t][:max_tokens]
-                np.add.at(out[i], [place(t) for t in tokens], 1.0)
+                if tokens:
+                    out[i] = np.bincount([place(t) for t in tokens], minlength=width)
             return out
 
         return encode

@@ -45,8 +45,11 @@ def left_join(
     """Left (or left semi / anti) equi-join that survives NULL-heavy and skewed keys.
 
     ``spread_on`` names a left column with many distinct values; ``hot_from`` names the table to sketch
-    the keys from when ``left`` is itself an expensive plan.
+    the keys from when ``left`` is itself an expensive plan. A key that contains ``spread_on`` is already
+    spread and is joined as it is.
     """
+    if spread_on in keys:
+        return left.join(right, list(keys), how)
     hot = frequent_keys(hot_from if hot_from is not None else left, keys, min_rows)
     types = {f.name: f.dataType for f in left.schema.fields}
     right = right.withColumns({k: F.col(k).cast(types[k]) for k in keys})
