@@ -7,9 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strataframe.plans.ordering import hashed_rank
 
 
-def _sizes(df: DataFrame, label: str) -> Column:
+def _sizes(df: DataFrame, label: str, need_cases: bool = False) -> Column:
     case = F.col(label) == 1
-    return df.agg(F.struct(F.count_if(case).alias("pos"), F.count_if(~case).alias("neg")).alias("s")).scalar()
+    pos = F.count_if(case)
+    if need_cases:
+        undefined = F.raise_error(F.lit("no cases: the positive weight is undefined")).cast("long")
+        pos = F.when(pos > 0, pos).otherwise(undefined)
+    return df.agg(F.struct(pos.alias("pos"), F.count_if(~case).alias("neg")).alias("s")).scalar()
 
 
 def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
@@ -21,10 +25,8 @@ def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataF
 
 def pos_weight(df: DataFrame, label: str, weight: str = "weight", full: DataFrame | None = None) -> DataFrame:
     """Controls per case of the full set on cases, 1 on controls. A set without cases is an error."""
-    ratio = F.col("_s.neg") / F.when(F.col("_s.pos") > 0, F.col("_s.pos")).otherwise(
-        F.raise_error(F.lit("no cases: the positive weight is undefined")).cast("long")
-    )
-    sized = df.withColumn("_s", _sizes(full if full is not None else df, label))
+    ratio = F.col("_s.neg") / F.col("_s.pos")
+    sized = df.withColumn("_s", _sizes(full if full is not None else df, label, need_cases=True))
     return sized.withColumn(weight, F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0))).drop("_s")
 
 
