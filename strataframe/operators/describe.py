@@ -152,11 +152,16 @@ def cat_stats(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
         F.count_if(F.col("_label") == 0).alias("label_0"),
         F.count_if(F.col("_label") == 1).alias("label_1"),
     )
-    per_variable = W.partitionBy("variable")  # one row per level
-    for c in ("total", "label_0", "label_1"):
-        size = F.sum(c).over(per_variable)
-        counts = counts.withColumn(f"{c}_pct", F.try_divide(F.col(c) * 100.0, size))
-    return counts
+    # every variable's levels add up to the rows, so the sizes need no window over the levels
+    sizes = df.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("total"),
+            F.count_if(F.col(label) == 0).alias("label_0"),
+            F.count_if(F.col(label) == 1).alias("label_1"),
+        ).alias("s")
+    ).scalar()
+    shares = {f"{c}_pct": F.try_divide(F.col(c) * 100.0, F.col("_s")[c]) for c in ("total", "label_0", "label_1")}
+    return counts.withColumn("_s", sizes).withColumns(shares).drop("_s")
 
 
 def _grouped_counts(df: DataFrame, columns: Sequence[str], group: str, total: bool) -> DataFrame:
@@ -292,8 +297,8 @@ def table_one(
 def group_share(df: DataFrame, group: str, level: str) -> DataFrame:
     """Percent of each level within its group; rows without a level are left out."""
     counts = df.filter(F.col(level).isNotNull()).groupBy(group, level).agg(F.count(F.lit(1)).alias("count"))
-    within = W.partitionBy(group)  # one row per level
-    return counts.withColumn("pct", F.col("count") / F.sum("count").over(within) * 100.0)
+    sizes = counts.groupBy(group).agg(F.sum("count").alias("_size"))
+    return counts.join(sizes, group).withColumn("pct", F.col("count") / F.col("_size") * 100.0).drop("_size")
 
 
 def level_order(df: DataFrame, level: str) -> DataFrame:

@@ -20,9 +20,20 @@ WIDTH = 768
 Encoder = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
-def embed_text(df: DataFrame, c: str, encoder: Encoder, out: str = "embedding", batch_size: int = BATCH_SIZE) -> DataFrame:
+def embed_text(
+    df: DataFrame,
+    c: str,
+    encoder: Encoder,
+    out: str = "embedding",
+    batch_size: int = BATCH_SIZE,
+    tasks: int | None = None,
+) -> DataFrame:
     """``out``: one float vector per text. ``encoder`` is called once per worker and returns the function
-    that maps a batch of texts to a 2-d array, so a model is loaded once and reused."""
+    that maps a batch of texts to a 2-d array, so a model is loaded once and reused.
+
+    Inference costs far more than moving its text, so ``tasks`` may spread rows that arrive in few input
+    splits; leave it out when the scan already has enough of them."""
+    df = df.repartition(tasks) if tasks else df
     predict = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.withColumn(out, predict(F.coalesce(F.col(c), F.lit(""))))
 

@@ -102,7 +102,11 @@ def f03(spark, sf):
 )
 def f04(spark, sf):
     """Whole documents through the batch encoder; the non-zero places of every vector."""
-    vectors = embed.embed_text(view(spark, sf, "documents").select("doc_id", "text"), "text", embed.hashing_encoder())
+    texts = view(spark, sf, "documents").select("doc_id", "text")
+    # one input file has few row groups; a table of many files already has a task per core
+    cores = spark.sparkContext.defaultParallelism
+    tasks = cores if len(texts.inputFiles()) < cores else None
+    vectors = embed.embed_text(texts, "text", embed.hashing_encoder(), tasks=tasks)
     places = vectors.select("doc_id", F.posexplode("embedding").alias("place", "value")).filter("value <> 0")
     return places.withColumn("value", F.col("value").cast("double"))
 
