@@ -31,8 +31,13 @@ def scan(
     schema: T.StructType | str | None = None,
     columns: Sequence[str] | None = None,
     fmt: str = "parquet",
+    nan_is_missing: bool = True,
 ) -> DataFrame:
-    """Projected scan; CSV needs a schema (types are declared, never inferred) and has a header."""
+    """Projected scan; CSV needs a schema (types are declared, never inferred) and has a header.
+
+    Turn ``nan_is_missing`` off for tables known to hold no NaN: then filters on floating columns reach
+    the file reader as well.
+    """
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV scan needs a declared schema")
@@ -40,7 +45,7 @@ def scan(
     else:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         df = reader.format(fmt).load(path)
-    df = nan_to_null(df)
+    df = nan_to_null(df) if nan_is_missing else df
     return df.select(*columns) if columns else df
 
 

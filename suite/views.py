@@ -123,8 +123,8 @@ def tables_of(name: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A study table as a DataFrame, or a driver table as it is."""
     if name not in VIEWS:
-        return scan(spark, f"{sf_dir}/{name}.parquet")
-    return spark.sql(VIEWS[name], **{t: scan(spark, f"{sf_dir}/{t}.parquet") for t in tables_of(name)})
+        return scan(spark, f"{sf_dir}/{name}.parquet", nan_is_missing=False)
+    return spark.sql(VIEWS[name], **{t: view(spark, sf_dir, t) for t in tables_of(name)})
 
 
 def ctes(*names: str) -> str:
