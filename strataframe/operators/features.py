@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataframe.functions.casts import fill_features, reverse_ordinal
@@ -136,3 +137,24 @@ def standardize(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> tu
         return df.withColumn("_s", stats).withColumns(exprs).drop("_s")
 
     return apply(train), apply(test)
+
+
+def standardize_vectors(
+    train: DataFrame, test: DataFrame, keep: Sequence[str] = ("stay_id", "label"), c: str = "features"
+) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`standardize` for an assembled vector column, however many features it holds.
+
+    A feature that is constant in training, which no model can use, is 0 in both tables.
+    """
+    scaler = StandardScaler(inputCol=c, outputCol="_unit", withMean=True, withStd=True).fit(train)
+    rows = train.count()
+    # the scaler divides by the sample SD; the study's SD is the population's
+    factor = (rows / max(rows - 1, 1)) ** 0.5
+    stretch = ElementwiseProduct(
+        scalingVec=Vectors.dense([factor] * len(scaler.mean)), inputCol="_unit", outputCol="_scaled"
+    )
+
+    def apply(df: DataFrame) -> DataFrame:
+        return stretch.transform(scaler.transform(df)).select(*keep, F.col("_scaled").alias(c))
+
+    return apply(train), apply(test)

@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from strataframe.operators.features import assemble, check_schema, standardize
+from strataframe.operators.features import assemble, check_schema, standardize_vectors
 from strataframe.operators.splits import balanced_weights, pos_weight
 from strataframe.plans.storage import fresh_path, materialise
 
@@ -109,19 +109,23 @@ def cross_validate(
     """Out-of-fold predictions ``(option, model, fold, stay_id, label, prob)`` and importances
     ``(option, model, fold, feature, imp)`` of every option x model x fold.
 
-    ``df`` carries ``stay_id, label, fold`` and the feature columns, and is read once per fold: store it.
+    ``df`` carries ``stay_id, label, fold`` and the feature columns. Each option's vectors are stored once.
     Each fit writes its predictions to shared storage, so finished fits survive a failure of a later one.
     """
     spark = df.sparkSession
     root = fresh_path(spark, "predictions")
+    vectors = {
+        option: materialise(assemble(df, columns).select("stay_id", "label", "fold", "features"), "vectors")
+        for option, columns in options.items()
+    }
 
     def run(option: str, columns: Sequence[str], fold: int) -> list[tuple]:
-        train, test = standardize(df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold), columns)
-        train = assemble(train, columns).select("stay_id", "label", "features").persist()
-        test = assemble(test, columns).select("stay_id", "label", "features")
+        rows = vectors[option]
+        train, test = standardize_vectors(rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold))
+        train = train.persist()
         found = []
         for name in models:
-            model = fit(name, train, profile, full=df)
+            model = fit(name, train, profile, full=rows)
             path = f"{root}/option={option}/model={name}/fold={fold}"
             score(model, test).write.mode("overwrite").parquet(path)
             found += [(option, name, fold, c, v) for c, v in zip(columns, importance(model))]
@@ -151,10 +155,10 @@ def external_validate(
 ) -> tuple[DataFrame, Model]:
     """Fit on the full internal set, score the external one; names must agree in order."""
     check_schema(columns, external_columns if external_columns is not None else columns)
-    fitted, scored = standardize(train, external, columns)
-    rows = materialise(assemble(fitted, columns).select("stay_id", "label", "features"), "train")
-    trained = fit(model, rows, profile)
-    return score(trained, assemble(scored, columns).select("stay_id", "label", "features")), trained
+    rows = materialise(assemble(train, columns).select("stay_id", "label", "features"), "train")
+    fitted, scored = standardize_vectors(rows, assemble(external, columns).select("stay_id", "label", "features"))
+    trained = fit(model, fitted, profile)
+    return score(trained, scored), trained
 
 
 def cv_importance(imps: DataFrame) -> DataFrame:

@@ -338,10 +338,9 @@ COLUMNS = [f"x{i}" for i in range(64)]
 
 def _fit_and_score(spark, sf, name):
     """Fitted on four folds, scored on the fifth."""
-    rows = _vectors(spark, sf)
-    train, test = features.standardize(rows.filter("fold <> 0"), rows.filter("fold = 0"), COLUMNS)
-    model = models.fit(name, features.assemble(train, COLUMNS), SMALL, full=rows)
-    return rounded(models.score(model, features.assemble(test, COLUMNS)))
+    rows = materialise(features.assemble(_vectors(spark, sf), COLUMNS), "assembled")
+    train, test = features.standardize_vectors(rows.filter("fold <> 0"), rows.filter("fold = 0"))
+    return rounded(models.score(models.fit(name, train, SMALL, full=rows), test))
 
 
 @query("g04_fit_lr_l1")

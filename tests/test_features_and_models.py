@@ -84,6 +84,11 @@ def test_standardize_uses_the_training_rows(spark):
     a, b = features.standardize(train, test, ["x", "c"])
     assert [tuple(r) for r in a.collect()] == [(-1.0, 0.0), (1.0, 0.0)]
     assert [tuple(r) for r in b.collect()] == [(2.0, 1.0)]
+    a, b = (features.assemble(d, ["x", "c"]) for d in (train, test))
+    a, b = features.standardize_vectors(a, b, keep=())
+    assert [list(r["features"]) for r in a.collect()] == [pytest.approx([-1.0, 0.0]), pytest.approx([1.0, 0.0])]
+    # a constant column says nothing: it is 0 everywhere
+    assert list(b.first()["features"]) == pytest.approx([2.0, 0.0])
 
 
 def test_pca_scores(spark):
