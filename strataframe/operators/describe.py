@@ -11,6 +11,7 @@ from strataframe.operators.cohort import Cohort, HospitalTables, StudySpec
 from strataframe.functions.codes import code_in
 from strataframe.operators.joins import flag_in_keys, left
 from strataframe.plans.ordering import exact_quantiles, value_counts
+from strataframe.plans.storage import materialise
 from strataframe.sources.tables import metric_table
 
 VITALS = ["temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp"]
@@ -164,14 +165,14 @@ def cat_stats(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return counts.withColumn("_s", sizes).withColumns(shares).drop("_s")
 
 
-def _grouped_counts(df: DataFrame, columns: Sequence[str], group: str, total: bool) -> DataFrame:
-    """(group, variable, value, n), the Total group added after the rows have collapsed."""
+def grouped_counts(df: DataFrame, columns: Sequence[str], group: str, total: bool) -> DataFrame:
+    """(group, variable, value, n), stored; the Total group is added after the rows have collapsed."""
     long = df.select(F.col(group).cast("string").alias("group"), *[F.col(c).cast("double").alias(c) for c in columns])
     counts = value_counts(long.unpivot(["group"], list(columns), "variable", "value"), ["group", "variable"], "value")
     if not total:
-        return counts
+        return materialise(counts, "values")
     both = counts.withColumn("group", F.explode(F.array(F.lit(TOTAL), F.col("group"))))
-    return value_counts(both, ["group", "variable"], "value", weight="n")
+    return materialise(value_counts(both, ["group", "variable"], "value", weight="n"), "values")
 
 
 def cont_stats(df: DataFrame, columns: Sequence[str], group: str, total: bool = True) -> DataFrame:
@@ -199,7 +200,7 @@ def cont_stats(df: DataFrame, columns: Sequence[str], group: str, total: bool =
     per = long.groupBy("group", "n", parts[0].alias("variable")).agg(
         *[F.max(F.when(parts[1] == s, F.col("x"))).alias(s) for s in ("mean", "sd", "missing")]
     )
-    counts = _grouped_counts(df, columns, group, total)
+    counts = grouped_counts(df, columns, group, total)
     quartiles = exact_quantiles(counts, ["group", "variable"], "value", QUARTILES)
     return per.join(quartiles, ["group", "variable"], "left").select(
         "group",

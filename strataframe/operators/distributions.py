@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strataframe.operators.describe import QUARTILES, _grouped_counts
+from strataframe.operators.describe import QUARTILES, grouped_counts
 from strataframe.plans.ordering import exact_quantiles
 
 
@@ -50,7 +50,10 @@ def kde(
     The grid spans the pooled range, or each group's own range. Rows collapse to value counts; every
     task adds its counts into one grid vector per group and only those vectors are shuffled.
     """
-    counts = _grouped_counts(df, columns, group, total=False)
+    return _kde(grouped_counts(df, columns, group, total=False), grid, common_grid)
+
+
+def _kde(counts: DataFrame, grid: int, common_grid: bool) -> DataFrame:
     # (group, variable) rows only
     spread = counts.groupBy("group", "variable").agg(
         F.sum("n").alias("size"),
@@ -116,7 +119,7 @@ def _kernel_sums(grid: int, block: int = 4_096):
 
 def box_stats(df: DataFrame, columns: Sequence[str], group: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last value within ``reach`` IQRs, and the outlier count."""
-    counts = _grouped_counts(df, columns, group, total=False)
+    counts = grouped_counts(df, columns, group, total=False)
     quartiles = exact_quantiles(counts, ["group", "variable"], "value", QUARTILES)
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - reach * iqr, F.col("q3") + reach * iqr
@@ -142,7 +145,6 @@ def box_stats(df: DataFrame, columns: Sequence[str], group: str, reach: float =
 
 def violin_stats(df: DataFrame, columns: Sequence[str], group: str, grid: int = 100) -> DataFrame:
     """Density cut to each group's own range, with the quartile lines on every grid row."""
-    quartiles = exact_quantiles(
-        _grouped_counts(df, columns, group, total=False), ["group", "variable"], "value", QUARTILES
-    )
-    return kde(df, columns, group, grid, common_grid=False).join(quartiles, ["group", "variable"])
+    counts = grouped_counts(df, columns, group, total=False)
+    quartiles = exact_quantiles(counts, ["group", "variable"], "value", QUARTILES)
+    return _kde(counts, grid, common_grid=False).join(quartiles, ["group", "variable"])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strataframe.functions.casts import fill_features, reverse_ordinal
 from strataframe.functions.text import COMPLAINT_CATEGORIES, multi_hot
 from strataframe.plans.ordering import exact_quantiles, value_counts
+from strataframe.plans.storage import materialise
 
 # Feature column groups in matrix order.
 CONTINUOUS = ["anchor_age", "temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp"]
@@ -29,7 +30,8 @@ def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "variable", "value"
     )
-    medians = exact_quantiles(value_counts(long, ["variable"], "value"), ["variable"], "value", {"median": 0.5})
+    counts = materialise(value_counts(long, ["variable"], "value"), "values")
+    medians = exact_quantiles(counts, ["variable"], "value", {"median": 0.5})
     row = medians.agg(
         F.struct(*[F.max(F.when(F.col("variable") == c, F.col("median"))).alias(c) for c in columns]).alias("m")
     ).scalar()

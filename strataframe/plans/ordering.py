@@ -26,13 +26,15 @@ def slot(value: Column, edges: Column, count: int) -> Column:
     while step <= count:
         steps.insert(0, step)
         step *= 2
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda at, step: F.when(
             (at + step <= F.size(edges)) & (F.get(edges, at + step - 1) <= value), at + step
         ).otherwise(at),
     )
+    # never NULL, and declared so: joins on the slot then push no NULL test of it down to the scan
+    return F.coalesce(found, F.lit(0))
 
 
 def hashed_rank(df: DataFrame, by: Sequence[str], id_col: str, seed: int, rank: str) -> DataFrame:
@@ -101,7 +103,7 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums along ``order`` within ``by``; ``sums`` maps source to output column.
 
-    ``df`` holds one row per (by, order). Slice edges are quantiles of the order values over all groups,
+    ``df`` holds one row per (by, order) and is read several times: pass a stored table. Slice edges are quantiles of the order values over all groups,
     so a slice of a group holds about 1/256 of the rows however the values are concentrated.
     """
     sliced = _sliced(df, order)
@@ -150,7 +152,7 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | Non
 def exact_quantiles(
     counts: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group of a :func:`value_counts` table."""
+    """Linearly interpolated quantiles per group of a stored :func:`value_counts` table."""
     placed = running_totals(counts, by, value, {"n": "_upto"})
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
     located = placed.join(sizes, list(by))
