@@ -12,25 +12,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 32
-HOT_SHARE = 200
-HOT_ROWS = 200_000
+SALT_ROWS = 1_000_000  # rows of one key that a task may well get
+MAX_SALTS = 10_000  # bounds how often a row of the other side is repeated
 SKETCH_SIZE = 400
 SKETCH_TRACKED = 4_000
 
 
-def frequent_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Column:
-    """Hashes of the keys holding at least ``1/HOT_SHARE`` of the rows, as a scalar-subquery array."""
+def frequent_keys(df: DataFrame, keys: Sequence[str], salt_rows: int = SALT_ROWS) -> Column:
+    """Number of salts per frequent key (by key hash), as a scalar-subquery map of at most SKETCH_SIZE."""
     hashed = df.select(F.when(_all_present(keys), F.xxhash64(*keys)).alias("_h"))
     sketch = hashed.filter(F.col("_h").isNotNull()).agg(
-        F.expr(f"approx_top_k(_h, {SKETCH_SIZE}, {SKETCH_TRACKED})").alias("top"),
-        F.count(F.lit(1)).alias("rows"),
+        F.expr(f"approx_top_k(_h, {SKETCH_SIZE}, {SKETCH_TRACKED})").alias("top")
     )
-    kept = F.filter(
-        F.coalesce("top", F.array().cast("array<struct<item:bigint,count:bigint>>")),
-        lambda t: (t["count"] >= F.lit(min_rows)) & (t["count"] * HOT_SHARE >= F.col("rows")),
+    found = F.coalesce("top", F.array().cast("array<struct<item:bigint,count:bigint>>"))
+    hot = F.filter(found, lambda t: t["count"] >= F.lit(2 * salt_rows))
+    salts = F.transform(
+        hot,
+        lambda t: F.struct(t["item"], F.least(F.ceil(t["count"] / F.lit(salt_rows)), F.lit(MAX_SALTS)).cast("int")),
     )
-    return sketch.select(F.transform(kept, lambda t: t["item"]).alias("hot")).scalar()
+    return sketch.select(F.map_from_entries(salts).alias("hot")).scalar()
 
 
 def left_join(
@@ -39,7 +39,7 @@ def left_join(
     keys: Sequence[str],
     spread_on: str,
     hot_from: DataFrame | None = None,
-    min_rows: int = HOT_ROWS,
+    salt_rows: int = SALT_ROWS,
     how: str = "left",
 ) -> DataFrame:
     """Left (or left semi / anti) equi-join that survives NULL-heavy and skewed keys.
@@ -50,21 +50,18 @@ def left_join(
     """
     if spread_on in keys:
         return left.join(right, list(keys), how)
-    hot = frequent_keys(hot_from if hot_from is not None else left, keys, min_rows)
+    hot = frequent_keys(hot_from if hot_from is not None else left, keys, salt_rows)
     types = {f.name: f.dataType for f in left.schema.fields}
     right = right.withColumns({k: F.col(k).cast(types[k]) for k in keys})
 
-    salt = F.pmod(F.xxhash64(spread_on), F.lit(SALTS)).cast("int")
-    is_hot = F.array_contains(hot, F.xxhash64(*keys))
+    salts = F.coalesce(F.try_element_at(hot, F.xxhash64(*keys)), F.lit(1))
+    place = F.xxhash64(spread_on)
     salted = left.withColumn(
-        "_salt", F.when(_all_present(keys) & ~is_hot, F.lit(0)).otherwise(salt)
-    )
-    copies = right.withColumn(
+        # NULL keys match nothing: negative salts spread them over all tasks
         "_salt",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        ),
+        F.when(_all_present(keys), F.pmod(place, salts)).otherwise(F.lit(-1) - F.pmod(place, F.lit(1 << 20))),
     )
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

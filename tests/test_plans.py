@@ -11,7 +11,7 @@ from strataframe.operators.joins import first_per_key, flag_in_keys, left_dim, r
 from strataframe.operators.sampling import plan_quotas, sample_n
 from strataframe.operators.splits import balanced_weights, pos_weight, stratified_folds
 from strataframe.plans import ordering
-from strataframe.plans.spread import SALTS, left_join
+from strataframe.plans.spread import left_join
 
 
 @pytest.fixture(scope="module")
@@ -24,26 +24,27 @@ def skewed(spark):
 def test_left_join_spreads_hot_and_null_keys(spark, skewed):
     dim = spark.createDataFrame([(k, f"v{k}") for k in range(0, 50, 2)] + [(7, "seven")], "k int, v string")
     plain = {r["id"]: r["v"] for r in skewed.join(dim, "k", "left").collect()}
-    joined = left_join(skewed, dim, ["k"], "id", min_rows=100)
+    joined = left_join(skewed, dim, ["k"], "id", salt_rows=50)
     assert {r["id"]: r["v"] for r in joined.collect()} == plain
     assert joined.count() == 6_000 and set(joined.columns) == {"id", "k", "v"}
     # rows of the hot key leave in many tasks instead of one
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        parts = left_join(skewed, dim, ["k"], "id", min_rows=100).filter("k = 7").groupBy(F.spark_partition_id()).count()
+        parts = left_join(skewed, dim, ["k"], "id", salt_rows=50).filter("k = 7").groupBy(F.spark_partition_id()).count()
         assert parts.count() > 4
+        none = left_join(skewed, dim, ["k"], "id").filter("k is null").groupBy(F.spark_partition_id()).count()
+        assert none.count() > 4
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert SALTS > 8
 
 
 def test_semi_and_anti_with_hot_keys(spark, skewed):
     keys = spark.createDataFrame([(7,), (8,), (None,)], "k long")
     want = {r["id"] for r in skewed.filter("k in (7, 8)").collect()}
-    assert {r["id"] for r in left_join(skewed, keys, ["k"], "id", min_rows=100, how="left_semi").collect()} == want
-    rest = left_join(skewed, keys, ["k"], "id", min_rows=100, how="left_anti")
+    assert {r["id"] for r in left_join(skewed, keys, ["k"], "id", salt_rows=50, how="left_semi").collect()} == want
+    rest = left_join(skewed, keys, ["k"], "id", salt_rows=50, how="left_anti")
     assert rest.count() == 6_000 - len(want)
     flags = flag_in_keys(skewed, keys, "k", "hit", "id").groupBy("hit").count().collect()
     assert {r["hit"]: r["count"] for r in flags} == {1: len(want), 0: 6_000 - len(want)}
