@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strataframe.llm import exact_dedup, labelled, minhash, mixing, packing, quality_mil
+from strataframe.llm import (
+    exact_dedup,
+    labelled,
+    language_nb,
+    licences,
+    minhash,
+    mixing,
+    packing,
+    quality_mil,
+    quality_rules,
+    toxicity,
+    url_filter,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -115,6 +127,117 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@_query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = labelled.held_out("doc_id", 4, 2)
+    model = toxicity.fit_toxicity(docs.filter(~held), labels)
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity_score(model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licences.TEMPLATES)
+
+LICENCES_SQL = rf"""
+with f as (
+  select doc_id, coalesce(text, '') as text, coalesce(source, '') || '/' || coalesce(lang, '') || '/'
+    || case when length(coalesce(text, '')) < 400 and regexp_matches(coalesce(text, ''), '(?i)licen[sc]e|all rights reserved|public domain')
+       then 'LICENSE.' else '' end || coalesce(doc_id::varchar, '') as path
+  from documents),
+p as (
+  select doc_id, path, unnest(string_split_regex(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), chr(10))) as content from f
+  union all select doc_id, path, text from f where path like '%/LICENSE.%'),
+n as (
+  select distinct * from p
+  where regexp_matches(content, '(?i)licen[sc]e|all rights reserved|public domain')),
+t(licence, notice) as (values {_TEMPLATE_ROWS}),
+pool as (
+  select false as t, content as id, content from (select distinct content from n) union all select true, licence, notice from t),
+c as (
+  select t, id, word, count(*) as tf
+  from (select t, id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+(?:[.+-][a-z0-9]+)*')) as word from pool) group by all),
+i as (select word, ln(((select count(*) from pool) + 1) / (count(*) + 1)) + 1 as idf from c group by word),
+w as (select t, id, c.word, tf * idf as w from c join i on c.word = i.word),
+norms as (select t, id, sqrt(sum(w * w)) as norm from w group by t, id),
+dots as (
+  select a.id, b.id as licence, sum(a.w * b.w) as dot
+  from w a join w b on a.word = b.word where not a.t and b.t group by a.id, b.id),
+scored as (
+  select d.id, d.licence, round(dot / (x.norm * y.norm), 6) as cosine
+  from dots d join norms x on x.id = d.id and not x.t join norms y on y.id = d.licence and y.t),
+own as (
+  select doc_id, path, licence, cosine from n join scored s on s.id = n.content where cosine >= 0.8
+  qualify row_number() over (partition by doc_id, path order by cosine desc, licence) = 1),
+granting as (
+  select regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, min(licence) as granted from own where path like '%/LICENSE.%' group by 1),
+out as (
+  select f.doc_id, f.path, o.licence, o.cosine, coalesce(g2.granted, g1.granted) as granted
+  from f left join own o on o.doc_id is not distinct from f.doc_id and o.path = f.path
+  left join granting g2 on g2.dir = regexp_extract(f.path, '^(.*)/[^/]*$', 1)
+  left join granting g1 on g1.dir = regexp_extract(f.path, '^([^/]*)/.*$', 1))
+select doc_id, path, coalesce(licence, granted) as licence, cosine,
+  case when licence is not null then 'own' when granted is not null then 'inherited' else 'none' end as origin
+from out
+"""
+
+
+@_query("op6_licence_scan", LICENCES_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as files below source/lang; a short text with a notice is its directory's licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    name = F.when((F.length(text) < 400) & text.rlike(licences.CUE), "LICENSE.").otherwise("")
+    path = F.concat(
+        F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), name,
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+    )
+    return licences.licence_scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 @_query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+URL_SQL = r"""
+with r(host, path, verdict) as (values {rules}),
+p as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+q as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from p),
+v as (
+  select q.*, r.host || r.path as rule, r.verdict
+  from q left join r on (q.host = r.host or ends_with(q.host, '.' || r.host)) and starts_with(q.path, r.path)
+  qualify row_number() over (partition by page_id, q.host, q.path order by length(r.host || r.path) desc nulls last) = 1)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from v
+""".format(rules=", ".join(map(str, URL_RULES)))
+
+
+@_query("op8_url_filter", URL_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+@_query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = labelled.held_out("doc_id", 3, 1)
+    model = language_nb.fit_languages(docs.filter(~held))
+    found = docs.select("doc_id", held.alias("held_out"), language_nb.predict_language(model, docs).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@_query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
