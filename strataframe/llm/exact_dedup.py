@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from strataframe.llm.names import fresh
 from strataframe.plans.storage import materialise
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -64,27 +65,26 @@ def exact_dedup(docs: DataFrame, text: str = "text", support: float = SUPPORT) -
     Copies of frequent texts are removed map-side against the broadcast winners; other losers are taken out by an
     anti join on (digest, doc_id). Texts move at most once. Rows that repeat an id and its text are reduced to one.
     """
+    digest_, won, won_id, lost, lost_id, rep = fresh(docs, "digest", "won", "won_id", "lost", "lost_id", "rep")
     keys = materialise(docs.select("doc_id", digest(text).alias("text_sha256")), "digests")
     winners = frequent_winners(keys, support)
     report = materialise(_report(keys, winners), "report")
     losers = (
         report.filter(~F.col("kept"))
         .join(F.broadcast(winners), "text_sha256", "left_anti")
-        .select(F.col("text_sha256").alias("_lost"), F.col("doc_id").alias("_lost_id"))
+        .select(F.col("text_sha256").alias(lost), F.col("doc_id").alias(lost_id))
     )
-    repeated = materialise(
-        report.filter("kept").groupBy("text_sha256").count().filter("count > 1").select(F.col("text_sha256").alias("_rep")),
-        "repeated",
-    )
-    won = winners.select(F.col("text_sha256").alias("_won"), F.col("keep_id").alias("_won_id"))
-    marked = docs.withColumn("_digest", digest(text))
+    repeated = report.filter("kept").groupBy("text_sha256").count().filter("count > 1")
+    repeated = materialise(repeated.select(F.col("text_sha256").alias(rep)), "repeated")
+    frequent = winners.select(F.col("text_sha256").alias(won), F.col("keep_id").alias(won_id))
     left = (
-        marked.join(F.broadcast(won), F.col("_digest") == F.col("_won"), "left")
-        .filter(F.col("_won").isNull() | F.col("doc_id").eqNullSafe(F.col("_won_id")))
-        .drop("_won", "_won_id")
-        .join(losers, (F.col("_digest") == F.col("_lost")) & F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left_anti")
+        docs.withColumn(digest_, digest(text))
+        .join(F.broadcast(frequent), F.col(digest_) == F.col(won), "left")
+        .filter(F.col(won).isNull() | F.col("doc_id").eqNullSafe(F.col(won_id)))
+        .drop(won, won_id)
+        .join(losers, (F.col(digest_) == F.col(lost)) & F.col("doc_id").eqNullSafe(F.col(lost_id)), "left_anti")
     )
     if not repeated.isEmpty():
-        again = left.join(repeated, F.col("_digest") == F.col("_rep"), "left_semi").dropDuplicates(["_digest"])
-        left = left.join(repeated, F.col("_digest") == F.col("_rep"), "left_anti").unionByName(again)
-    return left.drop("_digest")
+        again = left.join(repeated, F.col(digest_) == F.col(rep), "left_semi").dropDuplicates([digest_])
+        left = left.join(repeated, F.col(digest_) == F.col(rep), "left_anti").unionByName(again)
+    return left.drop(digest_)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as
 
 from strataframe.llm import bytescan as B
 from strataframe.llm.components import components
+from strataframe.llm.names import fresh
 from strataframe.plans.storage import materialise
 
 #: 21 bands of 6 bins: a pair at similarity 0.85 misses all bands with probability 5e-5, one at 0.8 with 2e-3 ...
@@ -178,8 +179,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 def _star_links(docs: DataFrame, members: DataFrame, width: int, percent: int, text: str) -> DataFrame:
     """All confirmed links (a, b) that connect what the buckets hold; ``members``: (bucket, rep, n, hub)."""
     ids = members.select(F.col("rep").alias("_rep")).distinct()
-    found = docs.join(ids, F.col("doc_id") == F.col("_rep"))
-    sets = materialise(found.select("_rep", _set_udf(width)(F.col(text)).alias("shingles")), "sets")
+    found = docs.select("doc_id", F.col(text).alias("text")).join(ids, F.col("doc_id") == F.col("_rep"))
+    sets = materialise(found.select("_rep", _set_udf(width)(F.col("text")).alias("shingles")), "sets")
 
     stars = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
     sizes = members.select(F.col("rep").alias("a"), F.col("n").alias("n_a")).distinct()
@@ -239,5 +240,6 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
 
     Documents without words and rows with a null doc_id all stay.
     """
-    lost = near_duplicates(docs, width, percent, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    (lost,) = fresh(docs, "lost")
+    losers = near_duplicates(docs, width, percent, text).filter(~F.col("kept")).select(F.col("doc_id").alias(lost)).distinct()
+    return docs.join(losers, F.col("doc_id") == F.col(lost), "left_anti")

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from strataframe.llm.names import fresh
 from strataframe.plans.storage import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -176,16 +177,19 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     Rows keep the columns of ``docs``. A document's row is repeated once per copy, and rows that repeat an id and
     its text share their copies out among them.
     """
+    id_, source_, due_, rows_, time_, row_ = fresh(docs, "id", "source", "due", "rows", "time", "row")
     plan = mix_plan(docs, **options).filter("copies > 0")
-    due = plan.groupBy("doc_id", "source").agg(F.flatten(F.collect_list("positions")).alias("_due"), F.count("*").alias("_rows"))
-    due = materialise(due.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "_due", "_rows"), "due")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src"))
+    due = plan.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source_)).agg(
+        F.flatten(F.collect_list("positions")).alias(due_), F.count("*").alias(rows_)
+    )
+    due = materialise(due, "due")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = docs.join(due.filter("_rows = 1"), same).select(*columns, F.explode("_due").alias("_time"))
-    repeated = due.filter("_rows > 1")
+    order = docs.join(due.filter(F.col(rows_) == 1), same).select(*columns, F.explode(due_).alias(time_))
+    repeated = due.filter(F.col(rows_) > 1)
     if not repeated.isEmpty():
-        row = F.row_number().over(W.partitionBy("_id", "_src").orderBy("text")) - 1
-        several = docs.join(repeated, same).withColumn("_row", row)
-        share = F.filter("_due", lambda x, i: i % F.col("_rows") == F.col("_row"))
-        once = once.unionByName(several.select(*columns, F.explode(share).alias("_time")))
-    return once.repartitionByRange("_time").sortWithinPartitions("_time").drop("_time")
+        row = F.row_number().over(W.partitionBy(id_, source_).orderBy("text")) - 1
+        several = docs.join(repeated, same).withColumn(row_, row)
+        share = F.filter(due_, lambda x, i: i % F.col(rows_) == F.col(row_))
+        order = order.unionByName(several.select(*columns, F.explode(share).alias(time_)))
+    return order.repartitionByRange(time_).sortWithinPartitions(time_).drop(time_)

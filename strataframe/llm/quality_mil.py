@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strataframe.llm import bytescan as B
 from strataframe.llm.labelled import clean_labels, sample_per_class
+from strataframe.llm.names import fresh
 from strataframe.plans.storage import materialise
 
 PASSAGE_WORDS = 64
@@ -166,7 +167,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     """
     chosen = materialise(sample_per_class(clean_labels(labels, "quality"), per_class), "sample")
     chosen = chosen.select(F.col("doc_id").alias("_id"), "label")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "label", F.col(text).alias("_text"))
+    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     table = rows.select("_id", "label", _encode_udf()(F.col("_text")).alias("x")).toArrow().combine_chunks()
     if table.num_rows == 0:
         return AttentionModel()
@@ -197,5 +198,5 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, t
     model = fit_quality(docs, labels, text=text)
     if not model.weights:
         return docs
-    scored = docs.withColumn("_quality_score", quality_score(model, docs, text))
-    return scored.filter(F.col("_quality_score") >= threshold).drop("_quality_score")
+    (score,) = fresh(docs, "score")
+    return docs.withColumn(score, quality_score(model, docs, text)).filter(F.col(score) >= threshold).drop(score)

@@ -164,7 +164,7 @@ def fit_ngrams(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, t
     """
     chosen = materialise(sample_per_class(clean_labels(labels, "quality"), per_class), "sample")
     chosen = chosen.select(F.col("doc_id").alias("_id"), "label")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "label", F.col(text).alias("_text"))
+    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     table = rows.select("_id", "label", _features_udf()(F.col("_text")).alias("f")).toArrow().combine_chunks()
     y = table["label"].to_numpy().astype(float) if table.num_rows else np.zeros(0)
     if not 0 < y.sum() < len(y):

@@ -193,8 +193,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     """Learn from the labelled documents (``labels``: doc_id, toxic). The driver gets counts per hashed token and the
     segment scores of the calibration sample. Without labels of both kinds the score is their smoothed share."""
     known = clean_labels(labels, "toxic").select(F.col("doc_id").alias("_id"), "label")
-    rows = docs.join(known, F.col("doc_id") == F.col("_id")).select(
-        "_id", F.col(text).alias("text"), F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(2)).cast("int").alias("half"), "label"
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(known, F.col("doc_id") == F.col("_id")).select(
+        "_id", "text", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(2)).cast("int").alias("half"), "label"
     )
     sizes = np.zeros((2, 2), np.int64)
     for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect():
