@@ -19,7 +19,7 @@ from strataframe.llm.names import fresh
 from strataframe.plans.storage import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 20_000
+BUCKET_SHARE = 0.5  # buckets of a source: this power of its rows, so that both buckets and their number stay small
 
 #: Weight over training time as (time, factor) knots, one schedule for each weight in turn: the heaviest sources
 #: lead and fade, the middle ones stay level, the lightest come in late. Each integrates to 1.
@@ -97,7 +97,7 @@ def mix_plan(
     budget: float = 1.5,
     cap: float = 2.0,
     schedules: Sequence[Sequence[tuple[float, float]]] = CURRICULUM,
-    bucket_rows: int = BUCKET_ROWS,
+    bucket_share: float = BUCKET_SHARE,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, positions.
 
@@ -114,7 +114,7 @@ def mix_plan(
     targets = source_targets(sources, weights, budget, cap)
     targets = targets.withColumn("_rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("_rest", F.col("target") - F.col("_rounds") * F.col("source_size"))
-    targets = targets.withColumn("_buckets", F.ceil(F.col("_n") / bucket_rows)).withColumnRenamed("source", "_source")
+    targets = targets.withColumn("_buckets", F.ceil(F.pow("_n", F.lit(bucket_share)))).withColumnRenamed("source", "_source")
     targets = materialise(targets.drop("_n"), "targets")
 
     bucket = F.floor(F.col("_h") / F.lit(float(1 << 60)) * F.col("_buckets"))
