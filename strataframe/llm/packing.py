@@ -10,6 +10,7 @@ rank, and ranks come from counts per (length, bucket), so that no length is orde
 from __future__ import annotations
 
 import json
+import math
 import os
 import sys
 import zlib
@@ -27,7 +28,7 @@ from strataframe.plans.storage import materialise
 
 LIMIT = 1024
 END_ID = 2
-BUCKET_ROWS = 20_000
+BUCKET_SHARE = 0.5  # buckets of a length: this power of its pieces, so that both buckets and their number stay small
 
 PIECES = T.ArrayType(
     T.StructType(
@@ -236,7 +237,7 @@ def _slots(plan: list[tuple[tuple[int, ...], int]], limit: int) -> dict[int, lis
     return slots
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, limit: int = LIMIT, bucket_share: float = BUCKET_SHARE) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any other columns; stored, as they are read twice) with sequence_id and offset.
 
     A sequence's pieces are gapless from offset 0. Rows are ranked within their length by (hash bucket, id, piece),
@@ -254,7 +255,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, bucket_rows: int = BUCKET_ROWS)
         n: tuple(np.asarray(x, np.int64) for x in zip(*rows)) for n, rows in slots.items()
     }
     shared = spark.sparkContext.broadcast(table)
-    fan = {n: -(-k // bucket_rows) for n, k in found.items()}
+    fan = {n: math.ceil(k**bucket_share) for n, k in found.items()}
     buckets = spark.createDataFrame(list(fan.items()), "length long, _buckets long")
 
     placed = pieces.join(F.broadcast(buckets), "length")
