@@ -108,7 +108,7 @@ def predict_language(model: Model, docs: DataFrame, text: str = "text") -> Colum
                         total[:, k] += B.sums(weight[:, k][bucket], bounds)
                 if languages:
                     top = total.argmax(1)
-                    score.append(1 / np.exp(total - total.max(1, keepdims=True)).sum(1))
+                    score.append(np.round(1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 6))
                 else:
                     top = np.zeros(n, np.int64)
                     score.append(np.zeros(n))

@@ -1,6 +1,6 @@
 """Licence scan of files: TF-IDF cosine of notices and licence files to templates, and inheritance by directory.
 
-Sentences and lines that mention a licence are notices; equal ones are scored once. A licence file (by its name) is
+Lines, and sentences of lines, that mention a licence are notices; equal ones are scored once. A licence file (by its name) is
 scored by its whole text too. A file without a licence of its own takes that of the nearest directory above it that
 holds a licence file. Everything is DataFrame operations: word vectors are rows (text, word, weight), cosines are a
 join on the word with the templates' vectors, which are few and broadcast, and directories are joined to the
@@ -35,7 +35,7 @@ TEMPLATES = (
 CUE = r"(?i)licen[sc]e|all rights reserved|public domain"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
-PIECES = r"\n|(?<=[.!?])[ \t]+"
+LINE, SENTENCE = r"\n", r"\n|(?<=[.!?])[ \t]+"
 MIN_COSINE = 0.8
 
 
@@ -88,7 +88,7 @@ def licence_scan(files: DataFrame, templates: DataFrame | None = None, min_cosin
     templates = template_vectors(spark) if templates is None else templates
     text = F.coalesce("text", F.lit(""))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    pieces = F.filter(F.split(text, PIECES), lambda x: x.rlike(CUE))
+    pieces = F.filter(F.array_union(F.split(text, LINE), F.split(text, SENTENCE)), lambda x: x.rlike(CUE))
     notices = F.array_distinct(F.when(named, F.array_append(pieces, text)).otherwise(pieces))
     rows = files.filter(named | text.rlike(CUE)).select("doc_id", "path", F.explode(notices).alias("content"))
     rows = materialise(rows.withColumn("text_id", F.sha2("content", 256)), "notices")

@@ -145,8 +145,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, text: str
 def plan_sequences(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """Combinations of lengths, longest first, and how often each is used; ``counts[n]`` pieces of length n.
 
-    Works on lengths and counts alone: about ``limit`` squared steps for pairs, and as many again for triples.
+    Complements of up to three, two, one or no pieces are tried in turn, each followed by best fit, and the plan with
+    the fewest sequences counts: with few pieces, taking triples early can starve what comes later. Works on lengths
+    and counts alone: about ``limit`` squared steps for pairs, and as many again for triples.
     """
+    return min((_plan(counts, limit, parts) for parts in (3, 2, 1, 0)), key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(counts: np.ndarray, limit: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
     left = counts.astype(np.int64).copy()
     plan: list[tuple[tuple[int, ...], int]] = []
 
@@ -164,15 +170,16 @@ def plan_sequences(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[i
     take((limit,))
     for first in range(limit - 1, 0, -1):
         if left[first]:
-            _fill_exactly(first, limit - first, left, take)
+            _fill_exactly(first, limit - first, parts, left, take)
     _best_fit(left, limit, plan)
     return plan
 
 
-def _fill_exactly(first: int, gap: int, left: np.ndarray, take) -> None:
+def _fill_exactly(first: int, gap: int, parts: int, left: np.ndarray, take) -> None:
     """Use up pieces of one length with exact complements: a single, a pair or a triple of available lengths."""
-    take((first, gap))
-    if not left[first]:
+    if parts >= 1:
+        take((first, gap))
+    if not left[first] or parts < 2:
         return
     # pairs: every available b with its complement available too; the longer part first, to spare short pieces
     b = np.arange(gap - 1, (gap - 1) // 2, -1)

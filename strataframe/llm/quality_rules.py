@@ -131,7 +131,8 @@ class NgramModel(NamedTuple):
         logit = np.full(len(block.offsets) - 1, self.bias)
         for kind, (bucket, bounds) in enumerate(ngrams(block)):
             logit += B.sums(self.weight[kind][bucket], bounds) / np.maximum(1, np.diff(bounds))
-        return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30)))
+        return np.round(p, 6)  # how a batch is cut must not show in the last bits of equal texts' scores
 
 
 def _features_udf():

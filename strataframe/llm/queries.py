@@ -146,6 +146,7 @@ with f as (
   from documents),
 p as (
   select doc_id, path, unnest(string_split_regex(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), chr(10))) as content from f
+  union all select doc_id, path, unnest(string_split(text, chr(10))) from f
   union all select doc_id, path, text from f where path like '%/LICENSE.%'),
 n as (
   select distinct * from p

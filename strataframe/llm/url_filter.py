@@ -97,7 +97,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     """One row per page: page_id, host, path, rule (null if none fits) and verdict.
 
     ``pages``: page_id, url; ``rules``: host, path, verdict (allow or block). A rule fits its host and all subdomains
-    if the page's path starts with the rule's; the longest host + path wins, block wins between equal rules. Rules
+    if the page's path starts with the rule's; the longest host + path wins, then the longer host;
+    block wins between equal rules. Rules
     with a null or empty host are left out, a null path is empty. A null url, or one without ``://``, has an empty
     host and path and gets the default verdict, as does any page that no rule fits. Repeated rows get equal results;
     an empty table gives no rows, and without rules all pages get the default.
