@@ -102,7 +102,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held = labelled.held_out("doc_id", 4, 2)
-    model = quality_mil.fit_quality(docs.filter(~held), labels)
+    model = quality_mil.fit_quality(docs.filter(~held), labels.filter(~held))
     scored = docs.select("doc_id", held.alias("held_out"), quality_mil.quality_score(model, docs).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
@@ -131,7 +131,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held = labelled.held_out("doc_id", 4, 2)
-    model = toxicity.fit_toxicity(docs.filter(~held), labels)
+    model = toxicity.fit_toxicity(docs.filter(~held), labels.filter(~held))
     scored = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity_score(model, docs).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

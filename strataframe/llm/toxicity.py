@@ -7,9 +7,10 @@ maximal scoring segments. How high segments climb by chance in texts of a given
 fitted on texts labelled as clean; what segments score beyond it adds up to the text's evidence, which a logistic
 step turns into a probability.
 
-Log-odds come from all labelled training rows, counted and scored in Spark; only tokens whose log-odds stand out are
-kept, the ``VOCABULARY`` most telling ones at most. The calibration uses a bounded sample of rows (``PER_CLASS``),
-scored with log-odds learned on the other half of the rows.
+Training uses a bounded sample of labelled rows (``PER_CLASS`` of each label), so that their ids can be broadcast and
+no text is shuffled. Log-odds are counted and scored in Spark; only tokens whose log-odds stand out are kept, the
+``VOCABULARY`` most telling ones at most. The calibration uses some of the rows (``CALIBRATION`` of each label), scored
+with log-odds learned on the other half of them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from strataframe.llm.labelled import clean_labels, sample_per_class
 from strataframe.plans.storage import materialise
 
 VOCABULARY = 100_000  # tokens with a score of their own; bounds what is broadcast
-PER_CLASS = 2_000  # labelled rows of each class that the calibration may use
+PER_CLASS = 10_000  # labelled rows of each class that training may use; bounds a broadcast of their ids
+CALIBRATION = 2_000  # of these, the rows of each class that the calibration uses
 PRIOR = 1.0  # pseudo-rows per token, split between the classes by their sizes
 CAUTION = 2.0  # standard errors taken off a log-odds towards 0
 DRIFT = 0.3
@@ -190,12 +192,16 @@ def _scan_udf(shared):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text") -> Model:
-    """Learn from the labelled documents (``labels``: doc_id, toxic). The driver gets counts per hashed token and the
-    segment scores of the calibration sample. Without labels of both kinds the score is their smoothed share."""
-    known = clean_labels(labels, "toxic").select(F.col("doc_id").alias("_id"), "label")
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(known, F.col("doc_id") == F.col("_id")).select(
-        "_id", "text", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(2)).cast("int").alias("half"), "label"
-    )
+    """Learn from the labelled documents (``labels``: doc_id, toxic). The driver gets the telling tokens' scores and the
+    segment scores of the calibration rows. Without labels of both kinds the score is their smoothed share."""
+    known = clean_labels(labels, "toxic")
+    share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    chosen = materialise(sample_per_class(known, per_class), "sample")
+    calibrating = sample_per_class(chosen, min(per_class, CALIBRATION)).select("doc_id", F.lit(True).alias("calibrates"))
+    chosen = materialise(chosen.join(calibrating, "doc_id", "left").withColumnRenamed("doc_id", "_id"), "chosen")
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    half = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(2)).cast("int")
+    rows = rows.select("_id", "text", half.alias("half"), "label", "calibrates")
     sizes = np.zeros((2, 2), np.int64)
     for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect():
         sizes[r["half"], r["label"]] = r["n"]
@@ -209,9 +215,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     halves = [learn_lexicon(counts, in_toxic[h], in_clean[h], int(sizes[h, 1]), int(sizes[h, 0])) for h in (0, 1)]
 
     shared = docs.sparkSession.sparkContext.broadcast(halves)
-    chosen = materialise(sample_per_class(known.withColumnRenamed("_id", "doc_id"), per_class), "sample")
-    chosen = chosen.select(F.col("doc_id").alias("_chosen"))
-    sample = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_chosen"))
+    sample = rows.filter("calibrates")
     scanned = sample.select("_id", "label", _scan_udf(shared)(F.col("text"), F.col("half")).alias("s")).toArrow().to_pylist()
     scanned.sort(key=lambda r: r["_id"])
     y = np.array([r["label"] for r in scanned])
@@ -224,7 +228,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     model = Model(lexicon, decay, scale, 1.0, 0.0)
     evidence = np.array([model.evidence(int(k), r["s"]["segments"]) for k, r in zip(n, scanned)])
     # the sample may hold the classes in other shares than the labels do: weigh its rows back
-    weight = np.where(clean, n_clean / max(1, clean.sum()), n_toxic / max(1, (~clean).sum()))
+    weight = np.where(clean, share[0] / max(1, clean.sum()), share[1] / max(1, (~clean).sum()))
     slope, shift = _logistic(np.minimum(evidence, 50.0) / 10, y, weight * len(y) / weight.sum())
     return model._replace(slope=slope / 10, shift=shift)
 
