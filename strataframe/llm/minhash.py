@@ -2,10 +2,13 @@
 
 A document's shingles are dealt to bins by one hash; the least hash of each bin is its signature, and an empty bin
 borrows from bins named by a fixed random sequence until one is filled. Runs of bins form bands, and equal bands form
-buckets. A bucket yields a star of candidate links around its smallest member instead of all pairs. Members that the
-star leaves unlinked become centres of further stars over the same bucket (twice as many each round) until every
-pair of a bucket is either compared or known to be connected, so stars lose no link that the buckets hold. Links are
-confirmed on full shingle sets.
+buckets. A bucket yields a star of candidate links around its smallest member instead of all pairs, and a second star
+around its best connected one. Links are confirmed on full shingle sets.
+
+Stars can miss a link between two members that neither centre is linked with. Documents of buckets that still hold
+several components therefore go through an exact join: of two sets that similar, the rarest shingles of either must
+meet, so documents are paired by those, and pairs in one component already are left out. Shingles are ranked by how
+many of these documents hold them; a passage that very many share comes last and pairs nobody.
 
 Documents with equal sets are one class from the start, so copies cost nothing further on. A set too small to be
 linked with any but its equal is left out of the buckets.
@@ -158,14 +161,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     shared = entries.groupBy("bucket").agg(F.count("*").alias("_k"), F.min("rep").alias("hub")).filter("_k > 1")
     members = entries.join(shared.select("bucket", "hub"), "bucket")
     members = materialise(members, "members")
-    links = _star_links(docs, members, width, percent, text)
+    links, found = _star_links(docs, members, width, percent, text)
 
     # rows that share an id tie their classes together
     nodes = known.select("doc_id", "set_id").join(classes.select("set_id", "rep"), "set_id")
     ties = nodes.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     several = known.select("doc_id", "set_id").distinct().groupBy("doc_id").count().filter("count > 1")
     ties = ties.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    found = components(links.select("a", "b").unionByName(ties))
+    if not several.isEmpty():
+        found = components(links.unionByName(ties))
     reached = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("set_id").alias("_set"), F.least("rep", F.coalesce("component", "rep")).alias("_component")
     )
@@ -176,52 +180,87 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     )
 
 
-def _star_links(docs: DataFrame, members: DataFrame, width: int, percent: int, text: str) -> DataFrame:
-    """All confirmed links (a, b) that connect what the buckets hold; ``members``: (bucket, rep, n, hub)."""
+def _star_links(docs: DataFrame, members: DataFrame, width: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) that connect all that the buckets hold, and their components (node, component).
+
+    ``members``: (bucket, rep, n, hub).
+    """
     ids = members.select(F.col("rep").alias("_rep")).distinct()
     found = docs.select("doc_id", F.col(text).alias("text")).join(ids, F.col("doc_id") == F.col("_rep"))
     sets = materialise(found.select("_rep", _set_udf(width)(F.col("text")).alias("shingles")), "sets")
 
-    stars = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
     sizes = members.select(F.col("rep").alias("a"), F.col("n").alias("n_a")).distinct()
+    stars = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
     compared = _compare(stars.distinct().join(sizes, "a"), sets, percent)
     links = compared.filter("linked").select("a", "b")
-    open_ = members.join(
-        links.select(F.col("a").alias("hub"), F.col("b").alias("rep")), ["hub", "rep"], "left_anti"
-    ).filter("rep <> hub")
-    open_ = materialise(open_.select("bucket", "rep"), "open")
-    centres = 1
-    while not open_.isEmpty():
-        labels = components(links).withColumnRenamed("node", "rep")
-        here = members.join(open_.select("bucket").distinct(), "bucket", "left_semi").join(labels, "rep", "left")
-        here = here.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        mixed = here.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi")
-        here = materialise(here.join(mixed.select("bucket"), "bucket", "left_semi"), "here")
-        open_ = open_.join(here.select("bucket", "rep", "n", "c"), ["bucket", "rep"])
-        ranked = open_.withColumn("_k", F.row_number().over(W.partitionBy("bucket").orderBy("rep")))
-        hubs = materialise(ranked.filter(F.col("_k") <= centres), "hubs")
-        rest = ranked.filter(F.col("_k") > centres).select("bucket", "rep")
-        pairs = hubs.select("bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("_cx")).join(
-            here.select("bucket", F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("_cy")), "bucket"
-        )
-        pairs = pairs.filter("_cx <> _cy").select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-            F.when(F.col("x") < F.col("y"), F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"),
-            F.when(F.col("x") < F.col("y"), F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
-        )
-        pairs = pairs.distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        more = _compare(pairs, sets, percent)
-        compared = compared.unionByName(more)
+    labels = components(links)
+    mixed = _mixed(members, labels)
+
+    degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    known = mixed.join(degrees, "rep", "left")
+    best = F.max_by(F.struct("rep", "n", "c"), F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep")))
+    centres = known.groupBy("bucket").agg(best.alias("x"))
+    pairs = mixed.join(centres, "bucket").filter(F.col("c") != F.col("x.c"))
+    more = _compare(_ordered(pairs, "x.rep", "x.n", "rep", "n").join(compared, ["a", "b"], "left_anti"), sets, percent)
+    compared = compared.unionByName(more)
+    if not more.filter("linked").isEmpty():
         links = compared.filter("linked").select("a", "b")
-        # a member linked to one of the new centres needs no star of its own: the centre has met the whole bucket
-        near = hubs.select("bucket", F.col("rep").alias("hub"))
-        tied = links.select(F.col("a").alias("hub"), F.col("b").alias("rep")).unionByName(
-            links.select(F.col("b").alias("hub"), F.col("a").alias("rep"))
-        )
-        done = near.join(tied, "hub").select("bucket", "rep").distinct()
-        open_ = materialise(rest.join(done, ["bucket", "rep"], "left_anti"), "open")
-        centres *= 2
-    return links
+        labels = components(links)
+        mixed = _mixed(mixed.drop("c"), labels)
+
+    rest = mixed.select("rep", "n", "c").distinct()
+    pairs = _meeting(rest, sets, percent).join(compared, ["a", "b"], "left_anti")
+    more = _compare(pairs, sets, percent).filter("linked").select("a", "b")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+    return links, labels
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored (bucket, rep, n, c) of the buckets that hold several components c."""
+    labelled = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = labelled.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    several = labelled.groupBy("bucket").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi")
+    return materialise(labelled.join(several.select("bucket"), "bucket", "left_semi"), "mixed")
+
+
+def _ordered(pairs: DataFrame, x: str, n_x: str, y: str, n_y: str) -> DataFrame:
+    """Distinct pairs as (a, b, n_a, n_b) with a < b."""
+    first = F.col(x) < F.col(y)
+    return pairs.select(
+        F.least(x, y).alias("a"), F.greatest(x, y).alias("b"),
+        F.when(first, F.col(n_x)).otherwise(F.col(n_y)).alias("n_a"),
+        F.when(first, F.col(n_y)).otherwise(F.col(n_x)).alias("n_b"),
+    ).distinct()
+
+
+def _meeting(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of different components whose rarest shingles meet; loses no linked pair.
+
+    Linked sets share at least ``percent`` percent of either, so in any common order of shingles the first
+    ``n - needed + 1`` of each have one in common, and from the first such on there must be enough shingles left in
+    both. Shingles that only one document holds count as places, but pair nobody.
+    """
+    tokens = rest.join(sets, F.col("rep") == F.col("_rep")).select("rep", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("df > 1")
+    shared = tokens.join(held, "token")
+    own = W.partitionBy("rep", "c")
+    needed = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    placed = shared.select(
+        "*",
+        F.row_number().over(own.orderBy("df", "token")).alias("_k"),
+        F.count("*").over(own).alias("_shared"),
+    )
+    left = F.col("_shared") - F.col("_k") + 1  # this shingle and those after it
+    first = placed.filter((left >= needed) & (F.col("_lo") != F.col("_hi")))
+    first = materialise(first.select("token", "rep", "n", "c", left.alias("left")), "rarest")
+    x, y = (first.select("token", *(F.col(k).alias(f"{k}_{side}") for k in ("rep", "n", "c", "left"))) for side in "xy")
+    similar = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    enough = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    apart = (F.col("rep_x") < F.col("rep_y")) & (F.col("c_x") != F.col("c_y"))
+    met = x.join(y, (x["token"] == y["token"]) & apart & similar & enough)
+    return _ordered(met, "rep_x", "n_x", "rep_y", "n_y")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
