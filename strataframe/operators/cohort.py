@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strataframe.functions.casts import c_to_f, leading_int, to_num
+from strataframe.functions.casts import c_to_f, leading_int, to_num, to_ts
 from strataframe.functions.codes import code_in, code_in_any, code_prefix_any, normalize_code
 from strataframe.functions.labels import RACE_EXTERNAL, RACE_INTERNAL, LabelRules, normalize_label
 from strataframe.functions.text import RISK_KEYWORDS, clean_text, has_keyword
@@ -224,11 +224,16 @@ def draw_controls(strata: DataFrame, spec: StudySpec) -> tuple[DataFrame, dict[s
 
 
 def clean_rows(wide: DataFrame, spec: StudySpec) -> DataFrame:
-    """Race groups, trimmed complaints and coerced numbers of the drawn stays."""
+    """Race groups, trimmed complaints and coerced ids, times and numbers of the drawn stays; bad input is NULL."""
     numbers = ["anchor_age", "temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "acuity"]
     text = {f.name for f in wide.schema.fields if f.dataType.simpleString() == "string"}
+    ids = [c for c in ("subject_id", "stay_id", "hadm_id") if c in text]
+    times = [c for c in ("intime", "outtime") if c in text]
     return wide.withColumns(
         {
+            # whole numbers as they are, since a double would round large ids; '12.0' by way of a double
+            **{c: F.coalesce(F.trim(c).try_cast("bigint"), to_num(c, "bigint")) for c in ids},
+            **{c: to_ts(c) for c in times},
             **{c: to_num(c, is_text=c in text) for c in numbers},
             "race": normalize_label("race", spec.race_rules),
             "chiefcomplaint": clean_text("chiefcomplaint"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from strataframe.operators.cohort import Cohort, HospitalTables, StudySpec
@@ -21,17 +20,12 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 TOTAL = "Total"
 
 
-@F.pandas_udf(T.StringType())
-def fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
-    """Fixed-point text, rounding half to even on the binary value; the JVM formatter rounds half up.
-    Meant for report cells, a few dozen rows."""
-    return pd.Series(
-        [None if pd.isna(v) else f"{v:.{int(d)}f}" for v, d in zip(value, digits)], dtype=object
-    )
-
-
 def cell(c: Column | str, digits: int) -> Column:
-    return F.coalesce(fixed(F.col(c) if isinstance(c, str) else c, F.lit(digits)), F.lit("nan"))
+    """Fixed-point text. A format pattern rounds half to even on the binary value, unlike ``format_string``."""
+    value = (F.col(c) if isinstance(c, str) else c).cast("double")
+    pattern = "0." + "0" * digits if digits else "0"
+    text = F.call_function("format_number", value, F.lit(pattern))
+    return F.when(value.isNull() | F.isnan(value), F.lit("nan")).otherwise(text)
 
 
 # --- counts ---------------------------------------------------------------------------------------

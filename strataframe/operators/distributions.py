@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strataframe.operators.describe import QUARTILES, grouped_counts
 from strataframe.plans.ordering import exact_quantiles
+from strataframe.plans.spread import attach_groups
 
 
 def histogram(df: DataFrame, c: str, group: str, bins: int = 30) -> DataFrame:
@@ -61,7 +62,7 @@ def _kde(counts: DataFrame, grid: int, common_grid: bool) -> DataFrame:
         F.max("value").alias("own_hi"),
         F.try_divide(F.sum(F.col("n") * F.col("value")), F.sum("n")).alias("mean"),
     )
-    shifted = counts.join(spread, ["group", "variable"])
+    shifted = attach_groups(counts, spread, ["group", "variable"], "value")
     squares = shifted.groupBy("group", "variable", "size", "own_lo", "own_hi").agg(
         F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), F.lit(2.0))).alias("ss")
     )
@@ -75,7 +76,7 @@ def _kde(counts: DataFrame, grid: int, common_grid: bool) -> DataFrame:
         (F.col("lo") if common_grid else F.col("own_lo")).alias("lo"),
         (F.col("hi") if common_grid else F.col("own_hi")).alias("hi"),
     )
-    fed = counts.join(plan, ["group", "variable"]).filter(F.col("bandwidth") > 0)
+    fed = attach_groups(counts, plan, ["group", "variable"], "value").filter(F.col("bandwidth") > 0)
     partial = fed.mapInPandas(
         _kernel_sums(grid), "group string, variable string, point int, x double, size long, bandwidth double, mass double"
     )
@@ -125,7 +126,7 @@ def box_stats(df: DataFrame, columns: Sequence[str], group: str, reach: float =
     low, high = F.col("q1") - reach * iqr, F.col("q3") + reach * iqr
     value = F.col("value")
     return (
-        counts.join(quartiles, ["group", "variable"])
+        attach_groups(counts, quartiles, ["group", "variable"], "value")
         .groupBy("group", "variable", *QUARTILES)
         .agg(
             F.min(F.when(value >= low, value)).alias("reach_lo"),

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.feature import (
+    ElementwiseProduct,
+    OneHotEncoder,
+    StandardScaler,
+    StringIndexer,
+    VectorAssembler,
+    VectorSlicer,
+)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,7 +29,6 @@ OPTIONS = {
     "Option3_Hybrid": ("categories", "pca"),
     "Option4_No_CC": (),
 }
-MAX_LEVELS = 1_000
 
 
 def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,11 +56,9 @@ def mode_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def sorted_levels(df: DataFrame, c: str) -> list[str]:
-    """The distinct levels in order. Levels become columns, so too many of them are an error."""
-    found = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-    return sorted(found)
+    """The distinct levels in order, from one aggregate. They become columns of a plan, so they are meant to be few;
+    a domain too large for that is encoded by :func:`one_hot_vector`."""
+    return df.agg(F.array_sort(F.collect_set(c)).alias("levels")).first()["levels"]
 
 
 def one_hot_names(c: str, levels: Sequence[str]) -> list[str]:
@@ -67,6 +71,17 @@ def one_hot_drop_first(df: DataFrame, c: str, levels: Sequence[str]) -> DataFram
     return df.withColumns(hits) if hits else df
 
 
+def one_hot_vector(df: DataFrame, c: str, out: str) -> DataFrame:
+    """The same encoding as one sparse vector, for any number of levels (two at least): places follow the sorted
+    levels, the first level and NULL are all zeros. Levels are indexed, not written into the plan."""
+    indexer = StringIndexer(inputCol=c, outputCol="_level", stringOrderType="alphabetAsc", handleInvalid="keep")
+    placed = indexer.fit(df.filter(F.col(c).isNotNull())).transform(df)
+    hot = OneHotEncoder(inputCol="_level", outputCol="_hot", dropLast=False).fit(placed)
+    levels = hot.categorySizes[0] - 1  # the place after the last level is NULL
+    keep = VectorSlicer(inputCol="_hot", outputCol=out, indices=list(range(1, levels)))
+    return keep.transform(hot.transform(placed)).drop("_level", "_hot")
+
+
 def common_features(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:
     """Continuous columns, reversed acuity and one-hot levels, with their names in matrix order."""
     df = df.withColumn(ORDINAL, reverse_ordinal("acuity").cast("double"))

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strataframe.plans.spread import left_join
 
 
-def left(df: DataFrame, other: DataFrame, keys: Sequence[str], spread_on: str) -> DataFrame:
-    """Left join on a composite key; a repeated right key repeats the row."""
-    return left_join(df, other, keys, spread_on)
+def left(
+    df: DataFrame, other: DataFrame, keys: Sequence[str], spread_on: str, hot_from: DataFrame | None = None
+) -> DataFrame:
+    """Left join on a composite key; a repeated right key repeats the row. ``hot_from`` names a cheaper table to
+    sketch frequent keys from where ``df`` is an expensive plan."""
+    return left_join(df, other, keys, spread_on, hot_from)
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

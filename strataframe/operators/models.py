@@ -17,7 +17,7 @@ from strataframe.operators.splits import balanced_weights, pos_weight
 from strataframe.plans.storage import fresh_path, materialise
 
 # Model names and seeds of the study.
-MODELS = ("LogisticRegression_L1", "RandomForest", "XGBoost")
+MODELS = ("LogisticRegression_L1", "RandomForest", "GradientBoostedTrees")
 SEED = 42
 TOP_FEATURES = 20
 
@@ -82,7 +82,7 @@ def fit(name: str, train: DataFrame, profile: Profile, full: DataFrame | None =
         return fit_lr_l1(train, profile)
     if name == "RandomForest":
         return fit_rf(train, profile)
-    if name == "XGBoost":
+    if name == "GradientBoostedTrees":
         return fit_gbt(train, profile, full)
     raise ValueError(f"unknown model {name}")
 

@@ -6,12 +6,15 @@ counts into offsets and finishes inside the slices. A window over a full group n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HASH_DIGITS = 4  # 65,536 slices of an md5 order
-VALUE_CUTS = 255  # slice edges of a numeric order
+SLICE_ROWS = 50_000  # rows of a stored value table that one slice should hold
+MAX_CUTS = 8_191  # slice edges of a numeric order, which grow with the table up to here
 
 
 def hash_order(seed: int, id_col: str) -> Column:
@@ -37,22 +40,25 @@ def slot(value: Column, edges: Column, count: int) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
+def group_key(by: Sequence[str]) -> Column:
+    """The grouping columns as one struct, which compares equal where NULLs stand in the same places."""
+    return F.struct(*by) if by else F.struct(F.lit(1))
+
+
 def hashed_rank(df: DataFrame, by: Sequence[str], id_col: str, seed: int, rank: str) -> DataFrame:
-    """1-based rank of each row within ``by`` in hash order. ``by`` columns must not be NULL."""
-    keyed = df.withColumn("_hash", hash_order(seed, id_col)).withColumn(
+    """1-based rank of each row within ``by`` in hash order; a NULL group is a group of its own."""
+    keyed = df.withColumns({"_hash": hash_order(seed, id_col), "_by": group_key(by)}).withColumn(
         "_slice", F.substring("_hash", 1, HASH_DIGITS)
     )
-    sizes = keyed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = _slices_of(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sizes = keyed.groupBy("_by", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("_by").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     # at most 16^HASH_DIGITS rows per group, whatever the size of the table
-    starts = sizes.select(
-        *by, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = W.partitionBy(*by, "_slice").orderBy("_hash", id_col)
+    starts = sizes.select("_by", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("_by", "_slice").orderBy("_hash", id_col)
     return (
-        keyed.join(starts, [*by, "_slice"])
+        keyed.join(starts, ["_by", "_slice"])
         .withColumn(rank, (F.col("_start") + F.row_number().over(inside)).cast("long"))
-        .drop("_hash", "_slice", "_start")
+        .drop("_hash", "_by", "_slice", "_start")
     )
 
 
@@ -94,52 +100,77 @@ def hashed_head(
     )
 
 
+def slice_edges(stored: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> list[float]:
+    """Ascending slice edges: quantiles of the order values over all groups, one for every ``slice_rows`` rows.
+
+    ``stored`` is counted and read once more; what reaches the driver are at most MAX_CUTS numbers.
+    """
+    cuts = min(MAX_CUTS, stored.count() // slice_rows)
+    if cuts == 0:
+        return []
+    positions = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    found = stored.agg(F.percentile_approx(F.col(order).cast("double"), positions, 20 * (cuts + 1))).first()[0]
+    return sorted({e for e in found or [] if math.isfinite(e)})
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
     order: str,
     sums: Mapping[str, str],
     descending: bool = False,
+    totals: Mapping[str, str] | None = None,
+    edges: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums along ``order`` within ``by``; ``sums`` maps source to output column.
+    """Inclusive running sums along ``order`` within ``by``; ``sums`` maps source to output column, and ``totals``
+    sources to columns with the whole group's sum, taken from the slices as well.
 
-    ``df`` holds one row per (by, order) and is read several times: pass a stored table. Slice edges are quantiles of the order values over all groups,
-    so a slice of a group holds about 1/256 of the rows however the values are concentrated.
+    ``df`` holds one row per (by, order) and is read several times: pass a stored table. A slice of a group holds
+    about SLICE_ROWS rows at most however the values are concentrated. No step is keyed by the group alone but the
+    one over slice totals. NULL groups are groups of their own.
     """
-    sliced = _sliced(df, order)
-    totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    totals = totals or {}
+    sliced = _sliced(df, by, order, slice_edges(df, order) if edges is None else edges)
+    per_slice = sliced.groupBy("_by", "_slice").agg(*[F.sum(s).alias(f"_t_{s}") for s in {*sums, *totals}])
     key = F.col("_slice").desc() if descending else F.col("_slice").asc()
-    earlier = _slices_of(by).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(
-        *by,
+    earlier = W.partitionBy("_by").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    all_slices = W.partitionBy("_by").orderBy(key).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    starts = per_slice.select(
+        "_by",
         "_slice",
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_s_{s}") for s in sums],
+        *[F.sum(f"_t_{s}").over(all_slices).alias(out) for s, out in totals.items()],
     )
     within = F.col(order).desc() if descending else F.col(order).asc()
-    inside = W.partitionBy(*by, "_slice").orderBy(within).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("_by", "_slice").orderBy(within).rowsBetween(W.unboundedPreceding, 0)
     return (
-        sliced.join(starts, [*by, "_slice"])
+        sliced.join(starts, ["_by", "_slice"])
         .withColumns({out: F.col(f"_s_{s}") + F.sum(s).over(inside) for s, out in sums.items()})
-        .drop("_slice", *[f"_s_{s}" for s in sums])
+        .drop("_by", "_slice", *[f"_s_{s}" for s in sums])
     )
 
 
 def next_values(
-    df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, str], descending: bool = False
+    df: DataFrame,
+    by: Sequence[str],
+    order: str,
+    columns: Mapping[str, str],
+    descending: bool = False,
+    edges: Sequence[float] | None = None,
 ) -> DataFrame:
     """The following row's values along ``order`` within ``by`` (NULL on the last row)."""
-    sliced = _sliced(df, order)
+    sliced = _sliced(df, by, order, slice_edges(df, order) if edges is None else edges)
     within = F.col(order).desc() if descending else F.col(order).asc()
     best = F.max_by if descending else F.min_by
-    heads = sliced.groupBy(*by, "_slice").agg(best(F.struct(*columns), order).alias("_head"))
+    heads = sliced.groupBy("_by", "_slice").agg(best(F.struct(*columns), order).alias("_head"))
     key = F.col("_slice").desc() if descending else F.col("_slice").asc()
-    after = heads.select(*by, "_slice", F.lead("_head").over(_slices_of(by).orderBy(key)).alias("_after"))
-    inside = W.partitionBy(*by, "_slice").orderBy(within)
+    after = heads.select("_by", "_slice", F.lead("_head").over(W.partitionBy("_by").orderBy(key)).alias("_after"))
+    inside = W.partitionBy("_by", "_slice").orderBy(within)
     return (
-        sliced.join(after, [*by, "_slice"])
+        sliced.join(after, ["_by", "_slice"])
         .withColumn("_next", F.coalesce(F.lead(F.struct(*columns)).over(inside), F.col("_after")))
         .withColumns({out: F.col("_next")[c] for c, out in columns.items()})
-        .drop("_slice", "_after", "_next")
+        .drop("_by", "_slice", "_after", "_next")
     )
 
 
@@ -153,9 +184,7 @@ def exact_quantiles(
     counts: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """Linearly interpolated quantiles per group of a stored :func:`value_counts` table."""
-    placed = running_totals(counts, by, value, {"n": "_upto"})
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
-    located = placed.join(sizes, list(by))
+    located = running_totals(counts, by, value, {"n": "_upto"}, totals={"n": "_size"})
     picks = []
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("_size") - 1)
@@ -171,16 +200,11 @@ def exact_quantiles(
     return ends.select(*by, *out)
 
 
-def _sliced(df: DataFrame, order: str) -> DataFrame:
-    """``_slice``: the place of ``order`` among quantile edges taken over all groups."""
-    positions = [i / (VALUE_CUTS + 1) for i in range(1, VALUE_CUTS + 1)]
-    edges = df.agg(F.percentile_approx(order, positions, 20 * VALUE_CUTS)).scalar()
-    return (
-        df.withColumn("_edges", edges)
-        .withColumn("_slice", slot(F.col(order), F.col("_edges"), VALUE_CUTS))
-        .drop("_edges")
-    )
-
-
-def _slices_of(by: Sequence[str]):
-    return W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+def _sliced(df: DataFrame, by: Sequence[str], order: str, edges: Sequence[float]) -> DataFrame:
+    """``_by`` and ``_slice``, the place of ``order`` among the edges; NULL counts as lowest and NaN as highest."""
+    keyed = df.withColumn("_by", group_key(by))
+    if not edges:
+        return keyed.withColumn("_slice", F.lit(0))
+    bucketed = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_order", outputCol="_slice", handleInvalid="keep")
+    placed = bucketed.transform(keyed.withColumn("_order", F.col(order).cast("double"))).drop("_order")
+    return placed.withColumn("_slice", F.when(F.col(order).isNull(), F.lit(0)).otherwise(F.col("_slice").cast("int")))

@@ -65,6 +65,18 @@ def left_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def attach_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], spread_on: str, salts: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``per_group``, which has one row per group.
+
+    A group with very many rows is spread over ``salts`` tasks by ``spread_on``, the group's row being repeated once
+    per salt. NULL keys are groups of their own; rows without a group in ``per_group`` are dropped.
+    """
+    key = F.struct(*keys)
+    salted = rows.withColumns({"_by": key, "_salt": F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int")})
+    copies = per_group.withColumns({"_by": key, "_salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))}).drop(*keys)
+    return salted.join(copies, ["_by", "_salt"]).drop("_by", "_salt")
+
+
 def _all_present(keys: Sequence[str]) -> Column:
     present = F.lit(True)
     for key in keys:

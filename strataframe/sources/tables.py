@@ -24,6 +24,13 @@ COHORT_TYPES = {
 }
 COHORT_COLUMNS = list(COHORT_TYPES)
 
+#: One set of rules for both directions, so that a text comes back as it was written; quotes are doubled.
+CSV_RULES = {
+    "header": True, "quote": '"', "escape": '"', "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",  # the default stops at milliseconds
+}
+
 
 def scan(
     spark: SparkSession,
@@ -35,13 +42,15 @@ def scan(
 ) -> DataFrame:
     """Projected scan; CSV needs a schema (types are declared, never inferred) and has a header.
 
+    CSV texts may hold line breaks, quotes and blanks (``CSV_RULES``); a row that does not fit the schema is an error.
+
     Turn ``nan_is_missing`` off for tables known to hold no NaN: then filters on floating columns reach
     the file reader as well.
     """
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV scan needs a declared schema")
-        df = spark.read.schema(schema).option("header", True).csv(path)
+        df = spark.read.schema(schema).options(**CSV_RULES, multiLine=True, mode="FAILFAST").csv(path)
     else:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         df = reader.format(fmt).load(path)
@@ -65,13 +74,13 @@ def map_schema(df: DataFrame, renames: Mapping[str, str], derived: Mapping[str,
 
 
 def project_cohort(df: DataFrame) -> DataFrame:
-    """The cohort columns in contract order and type."""
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in COHORT_TYPES.items()])
+    """The cohort columns in contract order and type; a value that does not fit becomes NULL."""
+    return df.select(*[F.col(c).try_cast(t).alias(c) for c, t in COHORT_TYPES.items()])
 
 
 def write_cohort(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = project_cohort(df).write.mode("errorifexists")
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
+    writer.options(**CSV_RULES, quoteAll=True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
 def read_cohort(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

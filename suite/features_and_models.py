@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from strataframe.functions.text import COMPLAINT_CATEGORIES
-from strataframe.operators import embed, features, models, splits
+from strataframe.operators import embed, features, matrix, models, splits
 from strataframe.operators.evaluate import metrics
 from strataframe.operators.joins import left
 from strataframe.operators.knn import knn_impute
@@ -31,11 +33,12 @@ _MEASURED = (
 def _measured(spark, sf):
     triage = view(spark, sf, "fx_triage")
     people = view(spark, sf, "fx_patients").select("subject_id", "anchor_age")
-    return left(triage, people, ["subject_id"], "stay_id").select("stay_id", *SEVEN)
+    keys = view(spark, sf, "orders").select(F.col("o_custkey").alias("subject_id"))  # where triage has its subjects from
+    return left(triage, people, ["subject_id"], "stay_id", hot_from=keys).select("stay_id", *SEVEN)
 
 
-def _knn_sql(k: int = 5) -> str:
-    """Every receiver tuple against every donor tuple."""
+def _knn_ctes(k: int = 5) -> str:
+    """Every receiver tuple against every donor tuple of ``m``: CTEs that end with ``filled``."""
     terms = [f"case when a.{c} is not null and b.{c} is not null then (a.{c} - b.{c}) * (a.{c} - b.{c}) else 0 end" for c in SEVEN]
     shared = " + ".join(f"case when a.{c} is not null and b.{c} is not null then 1 else 0 end" for c in SEVEN)
     total = terms[0]
@@ -51,19 +54,18 @@ def _knn_sql(k: int = 5) -> str:
         f"{R(f'''coalesce(m.{c}, max(value) filter (variable = '{c}'), (select avg({c}) from m))''')} as {c}" for c in SEVEN
     )
     return (
-        _MEASURED
-        + f", tuples as (select *, row_number() over (order by {', '.join(SEVEN)}) as tid from (select {', '.join(SEVEN)}, count(*) as n from m group by all)),"
+        f", tuples as (select *, row_number() over (order by {', '.join(SEVEN)}) as tid from (select {', '.join(SEVEN)}, count(*) as n from m group by all)),"
         + f" found as ({cells}), flat as (select tid, variable, unnest(best) as b from found),"
         + " placed as (select tid, variable, b.d as d, b.v as v, b.n as n, coalesce(sum(b.n) over (partition by tid, variable order by b.d, b.v, b.t"
         + " rows between unbounded preceding and 1 preceding), 0) as before, min(b.d) over (partition by tid, variable) as near from flat),"
         + f" weighed as (select tid, variable, v, least(n, {k} - before) * case when near = 0 then (case when d = 0 then 1 else 0 end)::double else 1 / d end as w"
         + f" from placed where before < {k}),"
         + " imputed as (select tid, variable, sum(w * v) / sum(w) as value from weighed group by all)"
-        + f" select m.stay_id, {values} from m join tuples t on {same} left join imputed i on i.tid = t.tid group by m.stay_id, {', '.join(f'm.{c}' for c in SEVEN)}"
+        + f", filled as (select m.stay_id, {values} from m join tuples t on {same} left join imputed i on i.tid = t.tid group by m.stay_id, {', '.join(f'm.{c}' for c in SEVEN)})"
     )
 
 
-@query("f01_knn_impute", _knn_sql())
+@query("f01_knn_impute", _MEASURED + _knn_ctes() + " select * from filled")
 def f01(spark, sf):
     return rounded(knn_impute(_measured(spark, sf), SEVEN, "stay_id"))
 
@@ -89,7 +91,8 @@ def f02(spark, sf):
 )
 def f03(spark, sf):
     stays = view(spark, sf, "fx_stays").select("stay_id", "hadm_id", "gender")
-    joined = left(stays, view(spark, sf, "fx_admissions"), ["hadm_id"], "stay_id")
+    keys = view(spark, sf, "orders").select(F.col("o_orderkey").alias("hadm_id"))
+    joined = left(stays, view(spark, sf, "fx_admissions"), ["hadm_id"], "stay_id", hot_from=keys)
     rows = joined.withColumn("race", F.when(F.col("race") != "", F.col("race"))).drop("hadm_id")
     return features.mode_impute(rows, ["gender", "race"])
 
@@ -103,10 +106,7 @@ def f03(spark, sf):
 def f04(spark, sf):
     """Whole documents through the batch encoder; the non-zero places of every vector."""
     texts = view(spark, sf, "documents").select("doc_id", "text")
-    # one input file has few row groups; a table of many files already has a task per core
-    cores = spark.sparkContext.defaultParallelism
-    tasks = cores if len(texts.inputFiles()) < cores else None
-    vectors = embed.embed_text(texts, "text", embed.hashing_encoder(), tasks=tasks)
+    vectors = embed.embed_text(texts, "text", embed.hashing_encoder(), tasks=spark.sparkContext.defaultParallelism)
     places = vectors.select("doc_id", F.posexplode("embedding").alias("place", "value")).filter("value <> 0")
     return places.withColumn("value", F.col("value").cast("double"))
 
@@ -185,26 +185,36 @@ def f08(spark, sf):
     return rows.drop("gender", "race")
 
 
-def _base_features(spark, sf, which="internal"):
-    """Imputed cohort rows; the median stands in for the donor search, which f01 covers."""
-    rows = stored_cohort(spark, sf, which).withColumnRenamed("ie_label", "label")
-    rows = features.median_impute(rows, [*SEVEN, "acuity"])
-    return features.complaint_features(rows, rules=RULES)
+SCORES = 8  # components of the complaints' embeddings
+_tables: dict[tuple, matrix.FeatureTable] = {}
+
 
+def _features(spark, sf, which="internal") -> matrix.FeatureTable:
+    """The feature table of a stored cohort, built once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf, which)
+    if key not in _tables:
+        like = _features(spark, sf) if which == "external" else None
+        rows = stored_cohort(spark, sf, which).withColumnRenamed("ie_label", "label")
+        _tables[key] = matrix.feature_table(rows, RULES, embed.hashing_encoder(), SCORES, like)
+    return _tables[key]
 
-def _feature_table(spark, sf):
-    rows = _base_features(spark, sf)
-    levels = {c: features.sorted_levels(stored_cohort(spark, sf), c) for c in ("gender", "race")}
-    return features.common_features(rows, levels)
 
+def _mode_sql(c: str) -> str:
+    return f"coalesce({c}, (select {c} from cohort where {c} is not null group by 1 order by count(*) desc, 1 limit 1))"
 
-def _imputed(c: str, table: str = "cohort") -> str:
-    return f"coalesce({c}, (select quantile_cont({c}, 0.5) from {table}))"
+
+# the cohort with its imputed cells: donors, median and mode
+_WHOLE = (
+    f", m as (select stay_id, {', '.join(SEVEN)} from cohort){_knn_ctes()},"
+    + f" whole as (select c.stay_id, chiefcomplaint, {', '.join(f'f.{c}' for c in SEVEN)},"
+    + f" coalesce(acuity, (select quantile_cont(acuity, 0.5) from cohort)) as acuity, {_mode_sql('gender')} as gender, {_mode_sql('race')} as race"
+    + " from cohort c join filled f on f.stay_id = c.stay_id)"
+)
 
 
 def _common_cells(races) -> list[tuple[str, str]]:
-    cells = [(c, _imputed(c)) for c in SEVEN]
-    cells.append(("esi_ordinal", f"least(greatest(trunc(5 - {_imputed('acuity')}), 0), 4)::double"))
+    cells = [(c, c) for c in SEVEN]
+    cells.append(("esi_ordinal", "least(greatest(trunc(5 - acuity), 0), 4)::double"))
     cells.append(("gender_M", "coalesce(gender = 'M', false)::integer::double"))
     cells += [(f"race_{r}", f"coalesce(race = '{r}', false)::integer::double") for r in races[1:]]
     return cells
@@ -214,30 +224,40 @@ def _rule_cells() -> list[tuple[str, str]]:
     return [(n, f"regexp_matches(lower(coalesce(chiefcomplaint, '')), '{p}')::integer::double") for n, p in RULES.items()]
 
 
+def _score_cells() -> list[tuple[str, str]]:
+    return [(f"cc_pca_{i}", "null::double") for i in range(SCORES)]
+
+
 def _cells_sql(cells) -> str:
     names = quoted([n for n, _ in cells])
     return f"unnest([{names}]) as name, unnest(range({len(cells)}))::integer as pos, unnest([{', '.join(R(e) for _, e in cells)}]) as value"
 
 
+_OPTION_CELLS = {
+    "Option1_Categorical": _common_cells(_RACES) + _rule_cells(),
+    "Option2_PCA_Embeddings": _common_cells(_RACES) + _score_cells(),
+    "Option3_Hybrid": _common_cells(_RACES) + _rule_cells() + _score_cells(),
+    "Option4_No_CC": _common_cells(_RACES),
+}
+
+
 @query(
     "f09_assemble",
-    COHORT
-    + f" select 'Option1_Categorical' as option, stay_id, {_cells_sql(_common_cells(_RACES) + _rule_cells())} from cohort"
-    + f" union all select 'Option4_No_CC', stay_id, {_cells_sql(_common_cells(_RACES))} from cohort",
+    COHORT + _WHOLE + " union all ".join(f" select '{o}' as option, stay_id, {_cells_sql(c)} from whole" for o, c in _OPTION_CELLS.items()),
 )
 def f09(spark, sf):
-    """Two of the four feature sets, one row per cell, in matrix order."""
+    """All four feature sets, one row per cell, in matrix order; scores, which f05 checks, are shown as NULL."""
     from pyspark.ml.functions import vector_to_array
 
-    rows, common = _feature_table(spark, sf)
-    parts = []
-    for option, columns in features.option_columns(common, list(RULES)).items():
-        cells = features.assemble(rows, columns).select(
+    table, parts = _features(spark, sf), []
+    for option, columns in table.options.items():
+        cells = features.assemble(table.rows, columns).select(
             F.lit(option).alias("option"), "stay_id", F.posexplode(vector_to_array("features")).alias("pos", "value")
         )
         named = F.array(*[F.lit(c) for c in columns])
-        parts.append(cells.select("option", "stay_id", named[F.col("pos")].alias("name"), "pos", r6("value").alias("value")))
-    return parts[0].unionByName(parts[1])
+        value = F.when(~named[F.col("pos")].startswith("cc_pca_"), r6("value"))
+        parts.append(cells.select("option", "stay_id", named[F.col("pos")].alias("name"), "pos", value.alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _EXTERNAL = external_sql(VISIT_SPEC)
@@ -263,18 +283,23 @@ def f10(spark, sf):
     return features.align_features(rows, [*canonical, "race_Elsewhere"], keep=["stay_id"])
 
 
-@query("f11_check_schema", COHORT + ", e as (select 1) select 'same' as verdict, count(*) as rows from cohort union all select 'drift', count(*) from cohort")
+@query(
+    "f11_check_schema",
+    _EXTERNAL + " select 'same' as verdict, count(*) as rows from cohort union all select 'drift', count(*) from cohort",
+)
 def f11(spark, sf):
-    """The guard passes equal feature names and stops on drift."""
-    rows, common = _feature_table(spark, sf)
-    features.check_schema(common, list(common))
-    verdict = "drift"
+    """The guard passes the external table, encoded like the internal one, and stops where a column was lost."""
+    inside, outside = _features(spark, sf), _features(spark, sf, "external")
+    names = inside.options["Option3_Hybrid"]
+    found = [c for c in outside.rows.columns if c in set(names)]
+    features.check_schema(names, sorted(found, key=names.index))
+    verdict = "missed"
+    lost = outside.rows.drop(names[-1])
     try:
-        features.check_schema(common, [*common[:-1], "other"])
-        verdict = "missed"
+        features.check_schema(names, [c for c in names if c in lost.columns])
     except ValueError:
-        pass
-    counted = rows.agg(F.count(F.lit(1)).alias("rows"))
+        verdict = "drift"
+    counted = outside.rows.agg(F.count(F.lit(1)).alias("rows"))
     return counted.select(F.explode(F.array(F.lit("same"), F.lit(verdict))).alias("verdict"), "rows")
 
 
@@ -355,100 +380,127 @@ def g05(spark, sf):
 
 @query("g06_fit_gbt")
 def g06(spark, sf):
-    return _fit_and_score(spark, sf, "XGBoost")
+    return _fit_and_score(spark, sf, "GradientBoostedTrees")
 
 
-_stored_predictions: dict[tuple, object] = {}
+_validated: dict[tuple, tuple] = {}
 
 
-def _predictions(spark, sf):
-    """Out-of-fold predictions of two options and three models, stored once per session and folder."""
+def _cross_validated(spark, sf):
+    """Out-of-fold predictions and importances of four options and three models, stored once per session and folder."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _stored_predictions:
-        options = {"Option2_PCA_Embeddings": COLUMNS, "Option4_No_CC": COLUMNS[:8]}
-        preds, _ = models.cross_validate(_vectors(spark, sf), options, folds=5, profile=SMALL)
-        _stored_predictions[key] = preds
-    return _stored_predictions[key]
+    if key not in _validated:
+        table = _features(spark, sf)
+        rows = materialise(splits.stratified_folds(table.rows, "label", 5, 42, "stay_id"), "folds")
+        preds, imps = models.cross_validate(rows, table.options, folds=5, profile=SMALL)
+        _validated[key] = preds, materialise(imps, "importances")
+    return _validated[key]
 
 
 @query("g07_cross_validate")
 def g07(spark, sf):
     """Fold metrics of every option x model from the out-of-fold predictions."""
-    return rounded(metrics(_predictions(spark, sf), ["option", "model", "fold"]))
+    return rounded(metrics(_cross_validated(spark, sf)[0], ["option", "model", "fold"]))
 
 
-_EMBEDDED_FOLDS = _FOLDS.replace("stay_id", "vec_id").replace("partition by label", "partition by label = 0")
+_COHORT_FOLDS = _FOLDS.replace("label", "ie_label")
 
 
 @query(
     "g07_fold_coverage",
-    f"with f as (select vec_id, label, {_EMBEDDED_FOLDS} as fold from embeddings)"
-    + " select option, model, fold, count(*) as n, count(*) filter (label = 0) as cases, sum(vec_id)::bigint as ids from f,"
-    + " (select unnest(['Option2_PCA_Embeddings', 'Option4_No_CC']) as option),"
+    COHORT
+    + f", f as (select stay_id, ie_label, {_COHORT_FOLDS} as fold from cohort)"
+    + " select option, model, fold, count(*) as n, sum(ie_label)::bigint as cases, sum(stay_id)::bigint as ids from f,"
+    + f" (select unnest([{quoted(features.OPTIONS)}]) as option),"
     + f" (select unnest([{quoted(models.MODELS)}]) as model) group by all",
 )
 def g07_coverage(spark, sf):
     """Every row is predicted once per option and model, in its own fold."""
-    return _predictions(spark, sf).groupBy("option", "model", "fold").agg(
+    return _cross_validated(spark, sf)[0].groupBy("option", "model", "fold").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("cases"), F.sum("stay_id").alias("ids")
     )
 
 
-def _twins(spark, sf):
-    """Internal and external cohort with the same feature columns."""
-    levels = {c: features.sorted_levels(stored_cohort(spark, sf), c) for c in ("gender", "race")}
-    internal, names = features.common_features(_base_features(spark, sf), levels)
-    external, other = features.common_features(_base_features(spark, sf, "external"), levels)
-    return internal, external, [*names, *RULES], [*other, *RULES]
+_externals: dict[tuple, tuple] = {}
+
+
+def _external(spark, sf):
+    """The forest fitted on the internal cohort and its scores of the external one, stored once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _externals:
+        inside, outside = _features(spark, sf), _features(spark, sf, "external")
+        option = "Option1_Categorical"
+        preds, model = models.external_validate(
+            inside.rows, outside.rows, inside.options[option], outside.options[option], profile=SMALL
+        )
+        _externals[key] = materialise(preds, "external"), model, inside.options[option]
+    return _externals[key]
 
 
 @query("g08_external_validate")
 def g08(spark, sf):
-    internal, external, names, other = _twins(spark, sf)
-    preds, _ = models.external_validate(internal, external, names, other, profile=SMALL)
-    return rounded(preds)
+    return rounded(_external(spark, sf)[0])
+
+
+@query(
+    "g08_external_coverage",
+    _EXTERNAL + " select count(*) as n, sum(ie_label)::bigint as cases, sum(stay_id)::bigint as ids, true as valid from cohort",
+)
+def g08_coverage(spark, sf):
+    """Every external stay is scored once, with a probability."""
+    return _external(spark, sf)[0].agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("cases"), F.sum("stay_id").alias("ids"),
+        F.coalesce(F.bool_and(F.col("prob").between(0.0, 1.0)), F.lit(False)).alias("valid"),
+    )
 
 
 @query("g09_importance")
 def g09(spark, sf):
-    internal, external, names, other = _twins(spark, sf)
-    _, model = models.external_validate(internal, external, names, other, profile=SMALL)
+    _, model, names = _external(spark, sf)
     rows = list(zip(names, models.importance(model)))
     return rounded(spark.createDataFrame(rows, "feature string, imp double"))
 
 
-# importances as a long table: the mean price of a part per brand stands for a feature's importance
-_IMPS = (
-    "with imps as (select concat('o', p_size % 4) as option, p_type as model, p_brand as feature, cast(p_partkey % 5 as integer) as fold,"
-    " avg(p_retailprice) as imp from part group by all),"
-    " means as (select option, model, feature, avg(imp) as mean, stddev_pop(imp) as sd from imps group by all)"
-)
+@query("g10_cv_importance")
+def g10(spark, sf):
+    """Mean and SD over folds of the importances that cross-validation stored."""
+    return rounded(models.cv_importance(_cross_validated(spark, sf)[1]))
 
 
-def _importances(spark, sf):
-    return (
-        view(spark, sf, "part")
-        .groupBy(
-            F.concat(F.lit("o"), (F.col("p_size") % 4).cast("string")).alias("option"),
-            F.col("p_type").alias("model"),
-            F.col("p_brand").alias("feature"),
-            (F.col("p_partkey") % 5).cast("int").alias("fold"),
-        )
-        .agg(F.avg("p_retailprice").alias("imp"))
+@query(
+    "g10_importance_totals",
+    "select o as option, m as model, n as features, case when m = 'LogisticRegression_L1' then null else 1.0::double end as total, true as valid"
+    f" from (select unnest([{quoted(features.OPTIONS)}]) as o, unnest([{', '.join(str(len(c)) for c in _OPTION_CELLS.values())}])::bigint as n),"
+    f" (select unnest([{quoted(models.MODELS)}]) as m)",
+)
+def g10_totals(spark, sf):
+    """A mean for every feature, none negative; a forest's or a boosted model's importances add up to 1."""
+    means = models.cv_importance(_cross_validated(spark, sf)[1])
+    trees = F.col("model") != "LogisticRegression_L1"
+    return means.groupBy("option", "model").agg(
+        F.count(F.lit(1)).alias("features"),
+        F.when(F.max(trees), r6(F.sum("mean"))).alias("total"),
+        F.bool_and(F.col("mean") >= 0).alias("valid"),
     )
 
 
-@query("g10_cv_importance", _IMPS + f" select option, model, feature, {R('mean')} as mean, {R('sd')} as sd from means")
-def g10(spark, sf):
-    return rounded(models.cv_importance(_importances(spark, sf)))
+@query("g11_top_features")
+def g11(spark, sf):
+    return models.top_features(rounded(models.cv_importance(_cross_validated(spark, sf)[1])))
 
 
 @query(
-    "g11_top_features",
-    _IMPS
-    + ", rounded as (select option, model, feature, round(mean, 6) as mean, round(sd, 6) as sd from means),"
-    + " ranked as (select *, cast(row_number() over (partition by option, model order by mean desc, feature) as integer) as place from rounded)"
-    + " select * from ranked where place <= 20",
+    "g11_top_counts",
+    f"select o as option, m as model, least(n, 20)::bigint as n, true as ordered"
+    f" from (select unnest([{quoted(features.OPTIONS)}]) as o, unnest([{', '.join(str(len(c)) for c in _OPTION_CELLS.values())}])::bigint as n),"
+    f" (select unnest([{quoted(models.MODELS)}]) as m)",
 )
-def g11(spark, sf):
-    return models.top_features(rounded(models.cv_importance(_importances(spark, sf))))
+def g11_counts(spark, sf):
+    """Places run from 1 and means do not rise with them."""
+    top = models.top_features(models.cv_importance(_cross_validated(spark, sf)[1]))
+    means = F.array_sort(F.collect_list(F.struct("place", "mean")))
+    ordered = F.forall(
+        F.sequence(F.lit(1), F.size(means)),
+        lambda i: (means[i - 1]["place"] == i) & ((i == 1) | (means[i - 1]["mean"] <= means[F.greatest(i - 2, F.lit(0))]["mean"])),
+    )
+    return top.groupBy("option", "model").agg(F.count(F.lit(1)).alias("n"), ordered.alias("ordered"))

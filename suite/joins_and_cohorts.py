@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from strataframe.functions.codes import code_in, code_prefix_any
 from strataframe.functions.text import has_keyword
 from strataframe.operators import joins
-from strataframe.operators.cohort import draw_controls, map_visits
+from strataframe.operators.cohort import build_cohort, draw_controls, map_visits
 from strataframe.operators.filters import rule_report, study_rules
 from strataframe.operators.sampling import (
     assign_stratum,
@@ -290,6 +292,16 @@ def e08(spark, sf):
     return rows.withColumns({c: r6(c) for c in ("temperature", "o2sat")})
 
 
+@query("e08_text_times", internal_sql(BASE_SPEC) + f" select {_COHORT} from cohort where stay_id % 50 <> 7")
+def e08_text_times(spark, sf):
+    """Arrival times and admissions that come as text: a time that is none becomes NULL and its row drops."""
+    tables = hospital(spark, sf)
+    text = F.when(F.col("stay_id") % 100 == 7, "0000-not-a-date").when(F.col("stay_id") % 50 == 7, "garbage")
+    stays = tables.stays.withColumn("intime", F.coalesce(text, F.col("intime").cast("string")))
+    rows = build_cohort(replace(tables, stays=stays), BASE_SPEC).rows
+    return rows.withColumns({c: r6(c) for c in ("temperature", "o2sat")})
+
+
 @query("e09_external_cohort", external_sql(VISIT_SPEC) + f" select {_COHORT} from cohort")
 def e09(spark, sf):
     rows = external(spark, sf).rows

@@ -16,6 +16,7 @@ from strataframe.plans.storage import fresh_path
 from strataframe.sources import tables
 from suite.registry import query, r6, rounded
 from suite.sql import (
+    external_sql,
     internal_sql,
     mapped_sql,
     norm,
@@ -66,6 +67,18 @@ def a03(spark, sf):
     return tables.read_cohort(spark, path, fmt="csv")
 
 
+@query(
+    "a03_write_external_cohort",
+    external_sql(VISIT_SPEC)
+    + f" select * replace (nullif(chiefcomplaint, '') as chiefcomplaint, {R('temperature')} as temperature, {R('o2sat')} as o2sat) from cohort",
+)
+def a03_external(spark, sf):
+    """The same for complaints that are whole documents, with line breaks, quotes and blanks."""
+    path = fresh_path(spark, "cohort_csv")
+    tables.write_cohort(stored_cohort(spark, sf, "external"), path, fmt="csv")
+    return tables.read_cohort(spark, path, fmt="csv").withColumns({c: r6(c) for c in ("temperature", "o2sat")})
+
+
 _MATRIX = ", ".join(f"coalesce({c}, 0.0)" for c in CONTINUOUS)
 
 

@@ -161,3 +161,12 @@ def test_auroc_properties(separable):
     flipped = auroc(scores.withColumn("prob", -F.col("prob"))).first()[0]
     assert area == pytest.approx(same) and flipped == pytest.approx(1 - area)
     assert auroc(scores.filter("label = 1")).first()[0] is None
+
+
+def test_one_hot_vector_equals_columns(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else f"l{i % 5}") for i in range(40)], "id long, c string")
+    names = features.one_hot_names("c", features.sorted_levels(df, "c"))
+    wide = features.one_hot_drop_first(df, "c", features.sorted_levels(df, "c"))
+    want = {r["id"]: [r[n] for n in names] for r in wide.collect()}
+    got = {r["id"]: r["v"].toArray().tolist() for r in features.one_hot_vector(df, "c", "v").collect()}
+    assert got == want

@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataframe.operators import evaluate
 from strataframe.operators.joins import first_per_key, flag_in_keys, left_dim, repeated_keys
 from strataframe.operators.sampling import plan_quotas, sample_n
 from strataframe.operators.splits import balanced_weights, pos_weight, stratified_folds
 from strataframe.plans import ordering
-from strataframe.plans.spread import left_join
+from strataframe.plans.spread import attach_groups, left_join
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +126,55 @@ def test_running_totals_next_values_and_quantiles(spark):
         flat = np.repeat(keys, ns)
         for name, p in probs.items():
             assert quantiles[g][name] == pytest.approx(np.quantile(flat, p), abs=1e-12)
+
+
+def test_slices_and_null_groups(spark):
+    """Many slices, values far apart, and a NULL group next to others: sums, totals and followers stay exact."""
+    rng = random.Random(8)
+    merged = {}
+    for g in ("x", None):
+        for _ in range(1_500):
+            v = round(rng.random() * (1e-3 if rng.random() < 0.9 else 1e3), 6)
+            merged[g, v] = merged.get((g, v), 0) + rng.randrange(1, 5)
+    df = spark.createDataFrame([(g, v, n) for (g, v), n in merged.items()], "g string, v double, n long")
+    edges = ordering.slice_edges(df, "v", 100)
+    assert len(edges) > 10 and ordering.slice_edges(df, "v") == []
+    rows = ordering.running_totals(df, ["g"], "v", {"n": "s"}, totals={"n": "all"}, edges=edges).collect()
+    assert all(r["all"] == sum(n for (g, _), n in merged.items() if g == r["g"]) for r in rows)
+    up = {(r["g"], r["v"]): r["s"] for r in rows}
+    after = {(r["g"], r["v"]): r["m"] for r in ordering.next_values(df, ["g"], "v", {"n": "m"}, edges=edges).collect()}
+    for g in ("x", None):
+        keys = sorted(v for h, v in merged if h == g)
+        ns = [merged[g, v] for v in keys]
+        assert [up[g, v] for v in keys] == list(np.cumsum(ns))
+        assert [after[g, v] for v in keys] == [*ns[1:], None]
+
+
+def test_no_exchange_is_on_the_group_alone_but_for_slice_totals(spark):
+    df = spark.createDataFrame([("x", float(i), 1) for i in range(500)], "g string, v double, n long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ordering.running_totals(df, ["g"], "v", {"n": "s"}, totals={"n": "all"}, edges=[100.0, 200.0])
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by = [line for line in text.splitlines() if "hashpartitioning(" in line]
+    assert sum("_slice" not in line for line in by) == 1, text
+
+
+def test_null_labels_and_groups_are_kept(spark):
+    rows = [(i, None if i % 5 == 0 else i % 2) for i in range(50)]
+    folds = stratified_folds(spark.createDataFrame(rows, "stay_id long, label int"), "label", 5, 42, "stay_id")
+    assert folds.count() == 50 and folds.filter("label is null").select("fold").distinct().count() == 5
+    scored = spark.createDataFrame([(g, i % 2, i / 10) for g in ("a", None) for i in range(10)], "m string, label int, prob double")
+    assert evaluate.metrics(scored, ["m"]).count() == evaluate.confusion(scored, 0.5, ["m"]).count() == 2
+    assert evaluate.decision_curve(scored, ["m"]).filter("m is null and model is not null").count() == 200
+
+
+def test_group_rows_are_attached_over_salts(spark):
+    rows = spark.createDataFrame([(g, i) for g in ("a", None, "b") for i in range(100)], "g string, v long")
+    groups = spark.createDataFrame([("a", 1), (None, 2)], "g string, k int")
+    got = attach_groups(rows, groups, ["g"], "v", salts=7)
+    assert sorted((r["g"] or "", r["v"], r["k"]) for r in got.collect()) == sorted(
+        [("a", i, 1) for i in range(100)] + [("", i, 2) for i in range(100)]
+    )

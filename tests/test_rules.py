@@ -11,6 +11,7 @@ from strataframe.functions.labels import RACE_EXTERNAL, RACE_INTERNAL, RACE_REPO
 from strataframe.functions.text import COMPLAINT_CATEGORIES, clean_text, has_keyword, keyword_categories
 from strataframe.operators.cohort import CASE_CODES, LOOKALIKE_PREFIXES, RISK_PREFIXES
 from strataframe.operators.filters import rule_report, study_rules, validate
+from strataframe.sources import tables
 from strataframe.sources.tables import nan_to_null, null_tokens
 
 
@@ -87,3 +88,17 @@ def test_validation_rules(spark):
     report = {r["rule"]: (r["failed"], r["dropped"]) for r in rule_report(rows, study_rules()).collect()}
     assert report["gender"] == (2, 2) and report["acuity"] == (2, 1) and report["stay_order"] == (2, 2)
     assert sum(d for _, d in report.values()) == 7
+
+
+def test_texts_survive_csv(spark, tmp_path):
+    """Quotes, backslashes, line breaks, carriage returns, leading blanks and microseconds come back as written."""
+    texts = ['say "hi"', "back\\slash", "two\nlines", "cr\r\nlf", "  blanks  ", 'a,"b\n', "\\", '"', "x\ty", "plain"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    cohort = spark.createDataFrame(rows, "stay_id long, chiefcomplaint string").selectExpr(
+        "stay_id as subject_id", "stay_id", "stay_id as hadm_id", "timestamp_ntz'2024-01-06 14:07:59.474219' as intime",
+        "cast(null as timestamp_ntz) as outtime", "1 as ie_label", "'M' as gender", "50.5D as anchor_age", "'W' as race",
+        *[f"98.6D as {c}" for c in ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "acuity")], "chiefcomplaint",
+    )
+    tables.write_cohort(cohort, f"{tmp_path}/c", fmt="csv")
+    got = tables.read_cohort(spark, f"{tmp_path}/c", fmt="csv")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(map(tuple, cohort.collect()), key=lambda r: r[1])
