@@ -192,7 +192,8 @@ def _scan_udf(shared):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text") -> Model:
-    """Learn from the labelled documents (``labels``: doc_id, toxic). The driver gets the telling tokens' scores and the
+    """Learn from the labelled documents (``labels``: doc_id, toxic; pass the training rows' labels only, as their
+    balance counts too). The driver gets the telling tokens' scores and the
     segment scores of the calibration rows. Without labels of both kinds the score is their smoothed share."""
     known = clean_labels(labels, "toxic")
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
