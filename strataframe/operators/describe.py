@@ -218,7 +218,7 @@ def table_one(
 ) -> DataFrame:
     """The descriptive table: ``pos, Variable, Total, label_0, label_1`` with text cells."""
     variables = [exposure, *categorical, *continuous]
-    at = {v: 1_000_000 * (i + 1) for i, v in enumerate(variables)}
+    at = {v: 10**12 * (i + 1) for i, v in enumerate(variables)}  # a variable never has that many levels
     start = F.create_map(*[x for v in variables for x in (F.lit(v), F.lit(at[v]))])
     groups = ["total", "label_0", "label_1"]
 
@@ -278,7 +278,7 @@ def table_one(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(exposure) == 0).alias("label_0"),
         F.count_if(F.col(exposure) == 1).alias("label_1"),
-    ).select(F.lit(0).alias("pos"), F.lit("N").alias("Variable"), *[F.col(g).cast("string") for g in groups])
+    ).select(F.lit(0).cast("long").alias("pos"), F.lit("N").alias("Variable"), *[F.col(g).cast("string") for g in groups])
     heads = sizes.select(
         F.explode(F.array(*[F.struct(F.lit(at[v]).alias("pos"), F.lit(v).alias("Variable")) for v in variables])).alias("h")
     ).select("h.*", *[F.lit("").alias(g) for g in groups])

@@ -182,7 +182,7 @@ def d08(spark, sf):
 
 def _table_one_sql(cohort: str) -> str:
     cats, groups = ["ie_label", "gender", "race"], ["total", "label_0", "label_1"]
-    at = {v: 1_000_000 * (i + 1) for i, v in enumerate([*cats, *CONT])}
+    at = {v: 10**12 * (i + 1) for i, v in enumerate([*cats, *CONT])}
     starts = "case variable " + " ".join(f"when '{v}' then {p}" for v, p in at.items()) + " end"
 
     def counted(g: str) -> str:
@@ -202,7 +202,7 @@ def _table_one_sql(cohort: str) -> str:
         + " rows_ as (select variable, level, total, label_0, label_1, total_pct, label_0_pct, label_1_pct, 0 as late from l where level is not null"
         + f" union all select variable, 'Missing', {', '.join(f'{g}' for g in groups)}, {', '.join(f'{g}_pct' for g in groups)}, 1 from"
         + f" (select variable, {present}, bool_or(coalesce(level = 'Missing', false)) as shown from l group by variable) where not shown),"
-        + f" t as (select cast({starts} + row_number() over (partition by variable order by late, level) as integer) as pos,"
+        + f" t as (select cast({starts} + row_number() over (partition by variable order by late, level) as bigint) as pos,"
         + f" concat('  ', level) as \"Variable\", {', '.join(counted(g) for g in groups)} from rows_"
         + " union all select 0, 'N', count(*)::varchar, (count(*) filter (ie_label = 0))::varchar, (count(*) filter (ie_label = 1))::varchar from cohort"
         + f" union all {heads} union all "

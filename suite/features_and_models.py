@@ -549,3 +549,40 @@ def g11_counts(spark, sf):
         lambda i: (means[i - 1]["place"] == i) & ((i == 1) | (means[i - 1]["mean"] <= means[F.greatest(i - 2, F.lit(0))]["mean"])),
     )
     return top.groupBy("option", "model").agg(F.count(F.lit(1)).alias("n"), ordered.alias("ordered"))
+
+
+# importances as a long table: the mean price of a part per brand stands for a feature's importance
+_IMPS = (
+    "with imps as (select concat('o', p_size % 4) as option, p_type as model, p_brand as feature, cast(p_partkey % 5 as integer) as fold,"
+    " avg(p_retailprice) as imp from part group by all),"
+    " means as (select option, model, feature, avg(imp) as mean, stddev_pop(imp) as sd from imps group by all)"
+)
+
+
+def _importances(spark, sf):
+    return (
+        view(spark, sf, "part")
+        .groupBy(
+            F.concat(F.lit("o"), (F.col("p_size") % 4).cast("string")).alias("option"),
+            F.col("p_type").alias("model"),
+            F.col("p_brand").alias("feature"),
+            (F.col("p_partkey") % 5).cast("int").alias("fold"),
+        )
+        .agg(F.avg("p_retailprice").alias("imp"))
+    )
+
+
+@query("g10_importance_stats", _IMPS + f" select option, model, feature, {R('mean')} as mean, {R('sd')} as sd from means")
+def g10_stats(spark, sf):
+    return rounded(models.cv_importance(_importances(spark, sf)))
+
+
+@query(
+    "g11_top_of_stats",
+    _IMPS
+    + ", rounded as (select option, model, feature, round(mean, 6) as mean, round(sd, 6) as sd from means),"
+    + " ranked as (select *, cast(row_number() over (partition by option, model order by mean desc, feature) as integer) as place from rounded)"
+    + " select * from ranked where place <= 20",
+)
+def g11_stats(spark, sf):
+    return models.top_features(rounded(models.cv_importance(_importances(spark, sf))))
