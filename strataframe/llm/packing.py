@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -47,6 +48,7 @@ PIECES = T.ArrayType(
 #: pattern needs no backtracking; the two agree on texts in which no white space stands beside other white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_SPLIT = SPLIT.replace(r"|\s+(?!\S)", "")
+DOUBLE_SPACE = re.compile(r"\s\s")  # Python's white space holds all of the pattern's, and a few characters more
 
 
 class TextEncoder:
@@ -69,8 +71,7 @@ class TextEncoder:
         plain, full = (tiktoken.Encoding(p, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PLAIN_SPLIT, SPLIT))
 
         def encode(text: str) -> list[int]:
-            single = len(text.split()) - 1 == text.count(" ") + text.count("\n")
-            return (plain if single else full).encode_ordinary(text)
+            return (full if DOUBLE_SPACE.search(text) else plain).encode_ordinary(text)
 
         self.encode = encode
 

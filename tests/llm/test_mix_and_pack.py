@@ -104,6 +104,17 @@ def test_encoder_equals_tokenizers(spark):
     assert [encoder.encode(t) for t in texts] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_white_space_beside_other_white_space():
+    """Every pair and triple of white space between letters, also where counts of blanks and of words agree."""
+    model = Tokenizer.from_file(TOKENIZER)
+    model.encode_special_tokens = True
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    gaps = [a + b for a in spaces for b in spaces] + [f" {a} " for a in spaces]
+    texts = ["a\t b", "a\u00a0 b", "a\tb c", "a\x1cb c", *(t for g in gaps for t in (f"a{g}b", f"a{g}", f"{g}b", f"a{g[0]}b c"))]
+    encoder = packing.TextEncoder(TOKENIZER)
+    assert [encoder.encode(t) for t in texts] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
 def check_sequences(rows, limit=1024):
     by_sequence = {}
     for r in rows:
