@@ -1,7 +1,7 @@
 """Licence scan of files: TF-IDF cosine of notices and licence files to templates, and inheritance by directory.
 
-Lines, and sentences of lines, that mention a licence are notices; equal ones are scored once. A licence file (by its name) is
-scored by its whole text too. A file without a licence of its own takes that of the nearest directory above it that
+Lines, sentences and blocks (runs of paragraphs or of comment lines) that hold a word of licences are notices; equal ones
+are scored once. A licence file (by its name) is scored by its whole text too. A file without a licence of its own takes that of the nearest directory above it that
 holds a licence file. Everything is DataFrame operations: word vectors are rows (text, word, weight), cosines are a
 join on the word with the templates' vectors, which are few and broadcast, and directories are joined to the
 ancestors of the distinct directories that need one.
@@ -9,6 +9,8 @@ ancestors of the distinct directories that need one.
 
 from __future__ import annotations
 
+from importlib.resources import files as resources
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataframe.plans.storage import materialise
@@ -32,10 +34,55 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+_GNU = (
+    "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name}General Public License"
+    " as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+)
+_CREATIVE = "This work is licensed under {a} Creative Commons {kind} 4.0 International License."
+_VIEW = " To view a copy of this license, visit http://creativecommons.org/licenses/{code}/4.0/"
+_LETTER = " or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+_KINDS = (
+    ("CC-BY-4.0", "a", "Attribution", "by"),
+    ("CC-BY-NC-4.0", "a", "Attribution-NonCommercial", "by-nc"),
+    ("CC-BY-SA-4.0", "a", "Attribution-ShareAlike", "by-sa"),
+)
+# fixed values: the standard notices for file headers, as the licences word them
+HEADERS = (
+    ("AGPL-3.0", _GNU.format(what="program", name="Affero ", version="3")),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+        " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to"
+        ' in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,'
+        " either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    ("GPL-2.0", _GNU.format(what="program", name="", version="2")),
+    ("GPL-3.0", _GNU.format(what="program", name="", version="3")),
+    ("LGPL-2.1", _GNU.format(what="library", name="Lesser ", version="2.1")),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+        " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    *((n, _CREATIVE.format(a=a, kind=k)) for n, a, k, _ in _KINDS),
+    *((n, _CREATIVE.format(a=a, kind=k) + _VIEW.format(code=c)) for n, a, k, c in _KINDS),
+    *((n, _CREATIVE.format(a=a, kind=k) + _VIEW.format(code=c) + _LETTER) for n, a, k, c in _KINDS),
+    *((n, f"Creative Commons {k} 4.0 International Public License") for n, _, k, _ in _KINDS),  # the title of the whole text
+)
+# whole texts, in licence_texts/NAME.txt, without copyright lines
+TEXTS = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "MIT", "MPL-2.0")
+RESERVED = "Proprietary"  # many licence texts begin by reserving all rights, so any licence comes before it
+
 CUE = r"(?i)licen[sc]e|all rights reserved|public domain"
+#: Every template holds one of these words (tested).
+WORDING = r"(?i)licen[sc]|rights reserved|public domain|copyright|redistribut|permission|permitted|warrant|creative commons"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 LINE, SENTENCE = r"\n", r"\n|(?<=[.!?])[ \t]+"
+MARKED = r"[ \t]*(?:#|//|/?\*|;|--|%|<!--|\.\.|\"\"\")"
+LEFT_COMMENT = rf"(?m)^({MARKED}[^\n]*)\n(?!{MARKED})"  # a comment line before one that is none
+WORDLESS = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+BLOCK = 8  # paragraphs: the longest header template (BSD) has five, copyright lines and a title come before it
 MIN_COSINE = 0.8
 
 
@@ -43,17 +90,43 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def template_vectors(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+def all_templates() -> list[tuple[str, str]]:
+    """Short notices, standard headers and whole texts; several of a licence."""
+    folder = resources("strataframe.llm") / "licence_texts"
+    return [*TEMPLATES, *HEADERS, *((n, (folder / f"{n}.txt").read_text(encoding="utf-8")) for n in TEXTS)]
+
+
+def blocks(text: Column) -> Column:
+    """Runs of up to ``BLOCK`` paragraphs, and the sentences of paragraphs over their line breaks, with words of licences.
+
+    A run begins and ends with a paragraph that holds such a word, as every header does.
+    """
+    paragraphs = F.split(F.regexp_replace(text, LEFT_COMMENT, "$1\n\n"), WORDLESS)
+    spoken = F.filter(F.transform(paragraphs, lambda p, i: F.when(p.rlike(WORDING), i + 1)), lambda i: i.isNotNull())
+    runs = F.flatten(
+        F.transform(
+            spoken,
+            lambda i: F.transform(F.filter(spoken, lambda k: k.between(i, i + BLOCK - 1)), lambda k: F.array_join(F.slice(paragraphs, i, k - i + 1), "\n")),
+        )
+    )
+    sentences = F.flatten(F.transform(F.filter(paragraphs, lambda p: p.rlike(WORDING)), lambda p: F.split(p, r"(?<=[.!?])\s+")))
+    return F.array_union(runs, F.filter(sentences, lambda x: x.rlike(WORDING)))
+
+
+def template_vectors(spark: SparkSession, templates=None) -> DataFrame:
+    templates = all_templates() if templates is None else templates
     return spark.createDataFrame(list(templates), "licence string, notice string")
 
 
 def cosines(texts: DataFrame, templates: DataFrame) -> DataFrame:
     """(text_id, licence, cosine) for the best template of each distinct text (text_id, content).
 
-    Inverse document frequencies count all distinct texts and the templates. Ties go to the licence first by name.
+    A licence may have several templates. Inverse document frequencies count all distinct texts and the templates.
+    Ties go to the licence first by name.
     """
+    names = templates.select("licence", "notice", F.concat_ws(" ", F.sha2("notice", 256), "licence").alias("template")).distinct()
     pool = texts.select(F.lit(False).alias("_t"), "text_id", "content").unionByName(
-        templates.select(F.lit(True).alias("_t"), F.col("licence").alias("text_id"), F.col("notice").alias("content"))
+        names.select(F.lit(True).alias("_t"), F.col("template").alias("text_id"), F.col("notice").alias("content"))
     )
     counts = pool.select("_t", "text_id", F.explode(_words(F.col("content"))).alias("word")).groupBy("_t", "text_id", "word")
     counts = materialise(counts.agg(F.count("*").alias("tf")), "words")
@@ -63,11 +136,12 @@ def cosines(texts: DataFrame, templates: DataFrame) -> DataFrame:
     weighted = materialise(weighted, "weights")
     norms = weighted.groupBy("_t", "text_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     norms = materialise(norms, "norms")
-    known = weighted.filter("_t").select(F.col("text_id").alias("licence"), "word", F.col("w").alias("w_t"))
-    known = known.join(norms.filter("_t").select(F.col("text_id").alias("licence"), F.col("norm").alias("norm_t")), "licence")
+    known = weighted.filter("_t").select(F.col("text_id").alias("template"), "word", F.col("w").alias("w_t"))
+    known = known.join(norms.filter("_t").select(F.col("text_id").alias("template"), F.col("norm").alias("norm_t")), "template")
+    known = known.join(F.broadcast(names.select("template", "licence")), "template")
     dots = (
         weighted.filter("not _t").join(F.broadcast(known), "word")  # one row per template and word
-        .groupBy("text_id", "licence", "norm_t").agg(F.sum(F.col("w") * F.col("w_t")).alias("dot"))
+        .groupBy("text_id", "template", "licence", "norm_t").agg(F.sum(F.col("w") * F.col("w_t")).alias("dot"))
     )
     scored = dots.join(norms.filter("not _t").select("text_id", "norm"), "text_id")
     scored = scored.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("norm_t")), 6))
@@ -79,8 +153,8 @@ def licence_scan(files: DataFrame, templates: DataFrame | None = None, min_cosin
     """One row per file: doc_id, path, licence, cosine, origin.
 
     ``files``: doc_id, path (``/`` between directories), text. origin is ``own`` (a notice in the file, or the whole
-    text of a licence file, has a cosine of ``min_cosine`` or more to a template; the highest counts, then the licence
-    first by name), ``inherited`` (from the nearest ancestor directory with a licence file; of several there, the
+    text of a licence file, has a cosine of ``min_cosine`` or more to a template; any licence before a mere reservation
+    of all rights, then the highest cosine, then the licence first by name), ``inherited`` (from the nearest ancestor directory with a licence file; of several there, the
     licence first by name) or ``none``. A null or empty text has no notice; a null path lies in no directory and
     passes nothing on. Repeated rows get equal results; an empty table gives no rows.
     """
@@ -88,15 +162,16 @@ def licence_scan(files: DataFrame, templates: DataFrame | None = None, min_cosin
     templates = template_vectors(spark) if templates is None else templates
     text = F.coalesce("text", F.lit(""))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    pieces = F.filter(F.array_union(F.split(text, LINE), F.split(text, SENTENCE)), lambda x: x.rlike(CUE))
+    lines = F.filter(F.array_union(F.split(text, LINE), F.split(text, SENTENCE)), lambda x: x.rlike(WORDING))
+    pieces = F.array_union(lines, blocks(text))
     notices = F.array_distinct(F.when(named, F.array_append(pieces, text)).otherwise(pieces))
-    rows = files.filter(named | text.rlike(CUE)).select("doc_id", "path", F.explode(notices).alias("content"))
+    rows = files.filter(named | text.rlike(WORDING)).select("doc_id", "path", F.explode(notices).alias("content"))
     rows = materialise(rows.withColumn("text_id", F.sha2("content", 256)), "notices")
     texts = rows.groupBy("text_id").agg(F.first("content").alias("content"))
     found = materialise(cosines(texts, templates).filter(F.col("cosine") >= min_cosine), "found")
 
     matched = rows.select("doc_id", "path", "text_id").join(found, "text_id")
-    best = matched.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    best = matched.groupBy("doc_id", "path").agg(F.min(F.struct((F.col("licence") == RESERVED).alias("r"), (-F.col("cosine")).alias("c"), "licence")).alias("b"))
     own = materialise(best.select("doc_id", "path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine")), "own")
 
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from importlib.metadata import distribution
 
 from strataframe.llm import licences, url_filter
 from tests.llm.conftest import rows_of
@@ -82,5 +83,57 @@ def test_templates_match_themselves_only(spark):
     assert got == sorted(((i, name, 1.0) for i, (name, _) in enumerate(licences.TEMPLATES)), key=repr)
 
 
+APACHE = """Copyright 2020 Somebody Else
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+CODE = "\nimport os\nfor name in os.listdir():\n    print(name)\n" * 50
+
+
+def marked(header, marker):
+    return "\n".join(f"{marker} {line}".rstrip() for line in header.split("\n"))
+
+
+def test_whole_licence_files_and_wrapped_headers(spark):
+    texts = {n: t for n, t in licences.all_templates()[-len(licences.TEXTS):]}
+    mine = "Copyright (c) 2021, Some Body\nAll rights reserved.\n\n"
+    files = [(i, f"whole{i}/LICENSE", mine + texts[n], n, "own") for i, n in enumerate(licences.TEXTS)]
+    files += [(100 + i, f"whole{i}/sub/code.py", CODE, n, "inherited") for i, n in enumerate(licences.TEXTS)]
+    real = next(f for f in distribution("pytest").files if f.name == "LICENSE")
+    headers = [
+        ("MIT", distribution("pytest").locate_file(real).read_text()),
+        ("Apache-2.0", marked(APACHE, "#") + CODE), ("Apache-2.0", "/*\n" + marked(APACHE, " *") + "\n */" + CODE), ("Apache-2.0", APACHE + "\n\n" + CODE),
+        ("GPL-3.0", marked(GPL, "//") + CODE), ("GPL-2.0", marked(GPL.replace("version 3", "version 2"), "//") + CODE),
+        ("AGPL-3.0", marked(GPL.replace("GNU", "GNU Affero"), "--") + CODE),
+        ("MIT", marked(mine + texts["MIT"], "#") + CODE), ("BSD-2-Clause", marked(mine + texts["BSD-2-Clause"], "#") + CODE),
+        ("BSD-3-Clause", mine + texts["BSD-3-Clause"] + "\n" + CODE), ("CC-BY-SA-4.0", "# This work is licensed under a Creative Commons\n"
+         "# Attribution-ShareAlike 4.0 International License." + CODE), ("MIT", "# Released under\n# the MIT License." + CODE),
+        (None, CODE), ("Proprietary", "# Copyright 2020\n# All rights reserved.\n" + CODE),
+    ]
+    files += [(200 + i, f"headers/{i}.c", text, name, "own" if name else "none") for i, (name, text) in enumerate(headers)]
+    got = rows_of(licences.licence_scan(spark.createDataFrame([f[:3] for f in files], "doc_id long, path string, text string")), "doc_id", "licence", "origin")
+    assert got == sorted(((i, n, o) for i, _, _, n, o in files), key=repr)
+
+
+def test_every_template_has_wording():
+    assert all(re.search(licences.WORDING, notice) for _, notice in licences.all_templates())
+    headers = [notice for name, notice in licences.all_templates() if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")]
+    for parts in (notice.strip().split("\n\n") for notice in headers):
+        assert len(parts) < licences.BLOCK and re.search(licences.WORDING, parts[0]) and re.search(licences.WORDING, parts[-1])
+
+
 def test_no_files(spark):
     assert licences.licence_scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
