@@ -113,7 +113,7 @@ def f04(spark, sf):
 
 @query("f05_pca_fit_transform")
 def f05(spark, sf):
-    return rounded(embed.pca_fit_transform(view(spark, sf, "embeddings"), "embedding", 10).drop("embedding"))
+    return rounded(embed.pca_fit_transform(view(spark, sf, "embeddings"), "embedding", WIDTH).drop("embedding"))
 
 
 @query("f06_explained_variance")
@@ -205,7 +205,7 @@ def f08(spark, sf):
     return rows.drop("gender", "race")
 
 
-SCORES = 8  # components of the complaints' embeddings
+SCORES = 100  # components of the complaints' embeddings
 _tables: dict[tuple, matrix.FeatureTable] = {}
 
 

@@ -9,6 +9,7 @@ from strataframe.operators import features, models
 from strataframe.operators.embed import embed_text, hashing_encoder, pca_fit
 from strataframe.operators.evaluate import auroc
 from strataframe.operators.knn import knn_impute
+from suite import ALL_QUERIES
 
 
 def distances(a, b):
@@ -170,3 +171,13 @@ def test_one_hot_vector_equals_columns(spark):
     want = {r["id"]: [r[n] for n in names] for r in wide.collect()}
     got = {r["id"]: r["v"].toArray().tolist() for r in features.one_hot_vector(df, "c", "v").collect()}
     assert got == want
+
+
+def test_queries_keep_every_component(spark):
+    """100 scores of the complaints in the two sets that hold scores, and the embeddings table at its full width."""
+    sf = "/root/testdata/sf0.001"
+    names = ALL_QUERIES["f09_assemble"](spark, sf).filter("name like 'cc_pca_%'").select("option", "name").distinct()
+    counts = {r["option"]: r["count"] for r in names.groupBy("option").count().collect()}
+    assert counts == {"Option2_PCA_Embeddings": 100, "Option3_Hybrid": 100}
+    scores = ALL_QUERIES["f05_pca_fit_transform"](spark, sf)
+    assert sum(c.startswith("cc_pca_") for c in scores.columns) == 64
