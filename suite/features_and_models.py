@@ -19,8 +19,7 @@ from suite.views import BASE_SPEC, NAME_RULES, VISIT_SPEC, ctes, stored_cohort,
 COHORT = internal_sql(BASE_SPEC)
 RULES = {n.replace(" ", "_"): p for n, p in NAME_RULES.items()}
 SEVEN = features.CONTINUOUS
-# Small model sizes: these queries show the operators at work, the study's sizes are the defaults.
-SMALL = models.Profile(trees=8, tree_depth=6, rounds=4, round_depth=3, iterations=60, bins=32)
+PROFILE = models.Profile()  # the study's sizes, also where fits take hours
 
 # --- F: features ----------------------------------------------------------------------------------
 
@@ -390,7 +389,7 @@ def _fit_and_score(spark, sf, name):
     if key not in _fitted:
         rows = materialise(features.assemble(_vectors(spark, sf), COLUMNS), "assembled")
         train, test = features.standardize_vectors(rows.filter("fold <> 0"), rows.filter("fold = 0"))
-        _fitted[key] = materialise(models.score(models.fit(name, train, SMALL, full=rows), test), "scored")
+        _fitted[key] = materialise(models.score(models.fit(name, train, PROFILE, full=rows), test), "scored")
     return _fitted[key]
 
 
@@ -437,7 +436,7 @@ def _cross_validated(spark, sf):
     if key not in _validated:
         table = _features(spark, sf)
         rows = materialise(splits.stratified_folds(table.rows, "label", 5, 42, "stay_id"), "folds")
-        preds, imps = models.cross_validate(rows, table.options, folds=5, profile=SMALL)
+        preds, imps = models.cross_validate(rows, table.options, folds=5, profile=PROFILE)
         _validated[key] = preds, materialise(imps, "importances")
     return _validated[key]
 
@@ -476,7 +475,7 @@ def _external(spark, sf):
         inside, outside = _features(spark, sf), _features(spark, sf, "external")
         option = "Option1_Categorical"
         preds, model = models.external_validate(
-            inside.rows, outside.rows, inside.options[option], outside.options[option], profile=SMALL
+            inside.rows, outside.rows, inside.options[option], outside.options[option], profile=PROFILE
         )
         _externals[key] = materialise(preds, "external"), model, inside.options[option]
     return _externals[key]

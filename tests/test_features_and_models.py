@@ -9,7 +9,7 @@ from strataframe.operators import features, models
 from strataframe.operators.embed import embed_text, hashing_encoder, pca_fit
 from strataframe.operators.evaluate import auroc
 from strataframe.operators.knn import knn_impute
-from suite import ALL_QUERIES
+from suite import ALL_QUERIES, features_and_models
 
 
 def distances(a, b):
@@ -181,3 +181,9 @@ def test_queries_keep_every_component(spark):
     assert counts == {"Option2_PCA_Embeddings": 100, "Option3_Hybrid": 100}
     scores = ALL_QUERIES["f05_pca_fit_transform"](spark, sf)
     assert sum(c.startswith("cc_pca_") for c in scores.columns) == 64
+
+
+def test_queries_fit_the_studys_models():
+    used = features_and_models.PROFILE
+    assert (used.trees, used.tree_depth, used.rounds, used.round_depth) == (500, 30, 500, 6)
+    assert (used.iterations, used.bins, used.rate, used.inverse_penalty) == (5_000, 256, 0.05, 1.0)
