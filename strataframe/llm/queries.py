@@ -17,9 +17,11 @@ from strataframe.llm import (
     packing,
     quality_mil,
     quality_rules,
+    token_records,
     toxicity,
     url_filter,
 )
+from strataframe.plans.storage import fresh_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -242,3 +244,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op13_token_records")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to the shared folder in doc_id order and read back from the files, checksums verified."""
+    path = fresh_path(spark, "token_records")
+    token_records.write_token_records(_table(spark, sf_dir, "documents"), path, TOKENIZER)
+    return token_records.read_records(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

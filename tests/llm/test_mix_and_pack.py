@@ -91,23 +91,22 @@ def test_mixing_odd_rows(odd_docs, no_docs):
 
 
 TRICKY = [
-    "", " ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n b", "\n\na", "it's we'll I'm 'tis", "x1 22 !? ...", "<|endoftext|> <|endoftext|>",
+    "", " ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n b", "\n\na", "it's we'll I'm 'tis", "x1 22 !? ...", "<|endoftext|> <|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>", "<|endoftext",
     "tab\tand\u00a0nbsp \u2003em", "Été ünïcode \U0001f600\U0001f600", "a\r\nb", "日本語 テキスト", "word\n", "\x1cfs\x1f us",
 ]
 
 
 def test_encoder_equals_tokenizers(spark):
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
     texts = TRICKY + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     encoder = packing.TextEncoder(TOKENIZER)
     assert [encoder.encode(t) for t in texts] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 def test_white_space_beside_other_white_space():
     """Every pair and triple of white space between letters, also where counts of blanks and of words agree."""
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
     spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     gaps = [a + b for a in spaces for b in spaces] + [f" {a} " for a in spaces]
     texts = ["a\t b", "a\u00a0 b", "a\tb c", "a\x1cb c", *(t for g in gaps for t in (f"a{g}b", f"a{g}", f"{g}b", f"a{g[0]}b c"))]
@@ -135,7 +134,6 @@ def test_packed_documents(spark):
     total = sum(r.length for r in rows)
     assert -(-total // 1024) <= n <= 1.02 * total / 1024
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
     pieces = {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
