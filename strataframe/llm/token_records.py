@@ -5,7 +5,8 @@ masked (rotated and shifted) so that a checksum of bytes that hold checksums sta
 
 =========  ===================================================================================================
 record     length of the payload (8 bytes), checksum of those bytes (4), payload, checksum of the payload (4)
-payload    doc_id (8 bytes), 1 or 0 for whether there is a doc_id (4), ids (4 bytes each, so they lie aligned)
+payload    doc_id (8 bytes), flags (4): 1 for a doc_id that is not null, 2 for narrow ids; ids, of 2 bytes each where
+           all of the record's are below 65,536, which is what ``narrow`` says, and of 4 bytes otherwise
 index      magic (8 bytes); for each record its offset in the data file (8) and the ids before it in the file (8);
            a last entry for the end of the file
 manifest   one line of JSON per data file, in order, with its records, bytes, ids and checksum of the index
@@ -49,6 +50,7 @@ MAGIC = b"TKRINDEX"
 MANIFEST = "_manifest.jsonl"
 HEAD = struct.Struct("<QI")
 KEY = struct.Struct("<qI")
+KNOWN, NARROW = 1, 2
 ENTRY = 16
 SPLIT_BYTES = 32 << 20  # of a data file that one reading task gets
 CHUNK_BYTES = 4 << 20  # read at once, unless one record is longer
@@ -65,14 +67,19 @@ def masked(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: bytes) -> bytes:
-    """One record."""
-    payload = KEY.pack(doc_id or 0, doc_id is not None) + ids
+    """One record of 32-bit ids."""
+    numbers = np.frombuffer(ids, "<u4")
+    flags = KNOWN if doc_id is not None else 0
+    if not len(numbers) or numbers.max() < 1 << 16:
+        flags |= NARROW
+        ids = numbers.astype("<u2").tobytes()
+    payload = KEY.pack(doc_id or 0, flags) + ids
     length = struct.pack("<Q", len(payload))
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))))
 
 
-def unframe(data: memoryview, at: int, where: str) -> tuple[int | None, memoryview, int]:
-    """doc_id, ids and the place after the record at ``at``; a record that fails a checksum is an error."""
+def unframe(data: memoryview, at: int, where: str) -> tuple[int | None, bytes, int]:
+    """doc_id, 32-bit ids and the place after the record at ``at``; a record that fails a checksum is an error."""
     size, check = HEAD.unpack_from(data, at)
     begin = at + HEAD.size
     if masked(bytes(data[at : at + 8])) != check or begin + size + 4 > len(data) or size < KEY.size:
@@ -80,8 +87,11 @@ def unframe(data: memoryview, at: int, where: str) -> tuple[int | None, memoryvi
     payload = data[begin : begin + size]
     if masked(payload) != struct.unpack_from("<I", data, begin + size)[0]:
         raise ValueError(f"{where}: the record at byte {at} of the part read is damaged")
-    doc_id, known = KEY.unpack_from(payload)
-    return doc_id if known else None, payload[KEY.size :], begin + size + 4
+    doc_id, flags = KEY.unpack_from(payload)
+    ids = bytes(payload[KEY.size :])
+    if flags & NARROW:
+        ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+    return doc_id if flags & KNOWN else None, ids, begin + size + 4
 
 
 def folder(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -122,7 +132,7 @@ class RecordWriter(DataSourceArrowWriter):
         index, place, total, out = array("Q"), 0, 0, None
         for batch in iterator:
             for doc_id, ids in zip(batch["doc_id"], batch["ids"]):
-                record = frame(doc_id.as_py(), ids.as_buffer())
+                record = frame(doc_id.as_py(), ids.as_py())
                 if out is None:
                     out = files.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20)
                 out.write(record)
@@ -216,7 +226,7 @@ class RecordReader(DataSourceReader):
             docs.append(doc_id)
             counts.append(len(content) // 4)
             crcs.append(zlib.crc32(content))
-            ids.append(bytes(content) if self.with_ids else None)
+            ids.append(content if self.with_ids else None)
         numbers = part.first + skipped + np.arange(len(docs))
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         columns = ([part.file] * len(docs), numbers, docs, starts, counts, crcs, ids)
@@ -314,7 +324,7 @@ def shuffled_records(spark: SparkSession, path: str, seed: int) -> DataFrame:
                 doc_id, content, _ = unframe(found, 0, row["file"])
                 places.append(row["place"])
                 docs.append(doc_id)
-                ids.append(bytes(content))
+                ids.append(content)
                 held += len(content)
                 if held >= CHUNK_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(docs, pa.int64()), pa.array(ids)], ["place", "doc_id", "ids"])

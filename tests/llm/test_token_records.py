@@ -75,10 +75,21 @@ def test_files_by_hand(spark, written):
             size, check = struct.unpack_from("<QI", data, at)
             crc = zlib.crc32(data[at : at + 8])
             assert check == ((crc >> 15 | crc << 17) + 0xA282EAD8) % 2**32
-            assert end == at + 16 + size and (size - 12) // 4 == after - before and (at + 24) % 4 == 0
+            assert struct.unpack_from("<I", data, at + 20)[0] == 3 and end == at + 16 + size and (size - 12) // 2 == after - before
     assert not [f for f in os.listdir(root) if f.startswith(".") and not f.endswith(".crc")]
 
 
+def test_wide_and_narrow_ids(spark, tmp_path):
+    """Ids up to 32 bits come back; those below 65,536 take two bytes."""
+    path = str(tmp_path / "set")
+    ids = {1: [0, 65_535], 2: [65_536], 3: [2**32 - 1, 5], None: []}
+    rows = [(d, np.asarray(n, "<u4").tobytes()) for d, n in ids.items()]
+    tr.write_records(spark.createDataFrame(rows, "doc_id long, ids binary").coalesce(1), path)
+    got = tr.read_records(spark, path).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == ids
+    assert [r.end - r.offset for r in tr.record_index(spark, path).orderBy("record").collect()] == [32, 32, 36, 28]
+
+
 def test_shuffled_reads_are_permutations(spark, written):
     plain = {(r.doc_id, r.ids) for r in tr.read_records(spark, written).collect()}
     one = tr.shuffled_records(spark, written, 1).collect()
