@@ -12,9 +12,11 @@ from strataframe.llm import (
     labelled,
     language_nb,
     licences,
+    merkle,
     minhash,
     mixing,
     packing,
+    phrases,
     quality_mil,
     quality_rules,
     token_records,
@@ -246,6 +248,105 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+PHRASES_SQL = r"""
+with texts as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+cut as (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from texts),
+pieces as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from cut),
+grams as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+  from (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from pieces, (select unnest(range(1, 5)) as k))),
+f as (select lang, k, phrase, string_split(phrase, ' ') as w, count(*) as f from grams group by lang, k, phrase having count(*) >= 30),
+cuts as (
+  select c.lang, c.k, c.phrase, c.f as a, j, l.f as l, r.f as r, ((2000000::hugeint * c.f) // (l.f + r.f))::bigint as score
+  from (select *, unnest(range(1, k)) as j from f) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[: c.j], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.j + 1 :], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (
+  select lang, f, array_to_string(w[i : i + m - 1], ' ') as phrase
+  from (select lang, f, w, m, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from f))),
+covered as (select distinct f.lang, f.phrase from f join inside i on i.lang = f.lang and i.phrase = f.phrase where 100 * i.f >= 80 * f.f),
+sizes as (select lang, count(*) as n from grams where k = 1 group by lang)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n, score
+from best b join sizes s on s.lang = b.lang where not exists (from covered c where c.lang = b.lang and c.phrase = b.phrase)
+qualify rank <= 2000
+"""
+
+
+@_query("op11_phrases", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.mine_phrases(_table(spark, sf_dir, "documents")))
+
+
+MERKLE_SQL = r"""
+with recursive
+bytes as (
+  select v, list_reduce(list_prepend(v::bigint, range(8)), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as crc
+  from range(256) t(v)),
+crcs as (select list(crc order by v) as crc from bytes),
+d as (
+  select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_text,
+    coalesce(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda c, x: xor(c >> 8, crcs.crc[(xor(c, x) & 255) + 1])), 4294967295) % 5 = 0, false) as tampered
+  from documents, crcs),
+f as (
+  select doc_id, source, tampered,
+    concat(
+      coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-')) as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail, coalesce(strlen(lower_text) || ':' || lower_text, '-') as lower_tail
+  from d),
+leaves as (
+  select doc_id, coalesce('=' || source, '') as tree, sha256(head || tail) as leaf, sha256(head || case when tampered then lower_tail else tail end) as seen
+  from f),
+numbered as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n from leaves),
+grown as (
+  select tree, 0 as level, i, n, leaf as digest from numbered
+  union all
+  select tree, any_value(level) + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' order by i)) from grown where n > 1 group by tree, i // 16),
+subroots as (
+  select tree, digest as subroot, row_number() over (order by tree) - 1 as i, count(*) over () as n from grown where n = 1),
+tops as (
+  select 0 as level, i, n, subroot as digest from subroots
+  union all
+  select any_value(level) + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' order by i)) from tops where n > 1 group by i // 16),
+steps as (
+  select x.doc_id, x.tree, x.i as leaf_i, s.level,
+    coalesce(string_agg(s.digest, '' order by s.i) filter (s.i < x.i // (16 ** s.level)::bigint), '') as before,
+    coalesce(string_agg(s.digest, '' order by s.i) filter (s.i > x.i // (16 ** s.level)::bigint), '') as after
+  from numbered x join grown s on s.tree = x.tree and s.n > 1 and s.i // 16 = x.i // (16 ** (s.level + 1))::bigint group by all
+  union all
+  select x.doc_id, x.tree, x.i, 1000 + s.level,
+    coalesce(string_agg(s.digest, '' order by s.i) filter (s.i < r.i // (16 ** s.level)::bigint), ''),
+    coalesce(string_agg(s.digest, '' order by s.i) filter (s.i > r.i // (16 ** s.level)::bigint), '')
+  from numbered x join subroots r on r.tree = x.tree join tops s on s.n > 1 and s.i // 16 = r.i // (16 ** (s.level + 1))::bigint group by all),
+proofs as (
+  select tree, leaf_i, list({'before': before, 'after': after, 'd': ''} order by level) as proof, string_agg(before || after, '' order by level) as siblings
+  from steps group by tree, leaf_i),
+folded as (
+  select x.doc_id, x.leaf, r.subroot, (select digest from tops where n = 1) as root, sha256(coalesce(siblings, '')) as proof_sha256,
+    list_reduce(list_prepend({'before': '', 'after': '', 'd': seen}, coalesce(proof, [])),
+      lambda a, s: {'before': '', 'after': '', 'd': sha256(s.before || a.d || s.after)}).d as folded_root
+  from numbered x join subroots r on r.tree = x.tree left join proofs p on p.tree = x.tree and p.leaf_i = x.i)
+select *, folded_root = root as verified from folded
+"""
+
+
+@_query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, and what they say of rows whose text lost its capitals in a fifth of the cases."""
+    docs = _table(spark, sf_dir, "documents")
+    text = F.translate("text", exact_dedup.UPPER, exact_dedup.UPPER.lower())
+    seen = merkle.leaf_digest([*merkle.COLUMNS[:-1], text])
+    manifest = merkle.build_manifest(docs, carry={"seen": F.when(labelled.held_out("doc_id", 5, 0), seen)})
+    rows = manifest.proofs().withColumn("seen", F.coalesce(merkle.hexed("seen"), "leaf"))
+    folded = rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"), merkle.fold("seen", "proof").alias("folded_root")
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @_query("op13_token_records")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to the shared folder in doc_id order and read back from the files, checksums verified."""

@@ -102,7 +102,7 @@ def test_shuffled_reads_are_permutations(spark, written):
     assert abs(np.corrcoef(ids, np.arange(len(ids)))[0, 1]) < 0.15
 
 
-@pytest.mark.parametrize("at", [3, 9, 20, 40, -2])
+@pytest.mark.parametrize("at", [3, 9, 20, 30, -2])
 def test_damage_is_found(spark, tmp_path, at):
     path = str(tmp_path / "set")
     docs = spark.createDataFrame([(1, "some words to damage here")], "doc_id long, text string").coalesce(1)
