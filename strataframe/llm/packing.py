@@ -29,6 +29,7 @@ from strataframe.plans.storage import materialise
 
 LIMIT = 1024
 END_ID = 2
+SPARE = 0.25  # of each length, which exact pairs and triples leave for best fit
 BUCKET_SHARE = 0.5  # buckets of a length: this power of its pieces, so that both buckets and their number stay small
 
 PIECES = T.ArrayType(
@@ -157,61 +158,65 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, text: str
     return exploded.select("doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", *(["p.ids"] if with_ids else []))
 
 
-def plan_sequences(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
+def plan_sequences(counts: np.ndarray, limit: int = LIMIT, spare: float = SPARE) -> list[tuple[tuple[int, ...], int]]:
     """Combinations of lengths, longest first, and how often each is used; ``counts[n]`` pieces of length n.
 
-    Complements of up to three, two, one or no pieces are tried in turn, each followed by best fit, and the plan with
-    the fewest sequences counts: with few pieces, taking triples early can starve what comes later. Works on lengths
-    and counts alone: about ``limit`` squared steps for pairs, and as many again for triples.
+    Gaps are filled exactly by singles first, then by pairs, then by triples, and best fit takes the rest. Pairs and
+    triples leave the share ``spare`` of each length that was there when their turn began: short pieces are what best
+    fit closes its last gaps with, and a plan that spends them all on exact sums ends with more sequences. Works on
+    lengths and counts alone: about ``limit`` squared steps for pairs, and as many again for triples.
     """
-    return min((_plan(counts, limit, parts) for parts in (3, 2, 1, 0)), key=lambda plan: sum(times for _, times in plan))
-
-
-def _plan(counts: np.ndarray, limit: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
     left = counts.astype(np.int64).copy()
     plan: list[tuple[tuple[int, ...], int]] = []
+    kept = np.zeros(limit + 1, np.int64)
 
-    def take(combo: tuple[int, ...]) -> int:
+    def take(*combo: int) -> None:
+        """Use a combination as often as the counts allow; the first length may be used up."""
         need: dict[int, int] = {}
         for n in combo:
             need[n] = need.get(n, 0) + 1
-        times = min(int(left[n]) // k for n, k in need.items())
+        times = min(int(left[n] - (kept[n] if n != combo[0] else 0)) // k for n, k in need.items())
         if times > 0:
             for n, k in need.items():
                 left[n] -= k * times
             plan.append((combo, times))
-        return times
 
-    take((limit,))
-    for first in range(limit - 1, 0, -1):
-        if left[first]:
-            _fill_exactly(first, limit - first, parts, left, take)
+    take(limit)
+    for fill in (_fill_by_one, _fill_by_two, _fill_by_three):
+        for first in range(limit - 1, 0, -1):
+            if left[first]:
+                fill(first, limit - first, left, kept, take)
+        kept = np.ceil(left * spare).astype(np.int64)
     _best_fit(left, limit, plan)
     return plan
 
 
-def _fill_exactly(first: int, gap: int, parts: int, left: np.ndarray, take) -> None:
-    """Use up pieces of one length with exact complements: a single, a pair or a triple of available lengths."""
-    if parts >= 1:
-        take((first, gap))
-    if not left[first] or parts < 2:
-        return
-    # pairs: every available b with its complement available too; the longer part first, to spare short pieces
-    b = np.arange(gap - 1, (gap - 1) // 2, -1)
-    for x in b[(left[b] > 0) & (left[gap - b] > 0)]:
-        if take((first, int(x), int(gap - x))) and not left[first]:
+def _fill_by_one(first: int, gap: int, left: np.ndarray, kept: np.ndarray, take) -> None:
+    if gap <= first:
+        take(first, gap)
+
+
+def _fill_by_two(first: int, gap: int, left: np.ndarray, kept: np.ndarray, take) -> None:
+    """Every available length whose complement is available too; the longer part first, to spare short pieces."""
+    x = np.arange(min(gap - 1, first), (gap - 1) // 2, -1)
+    for n in x[(left[x] > kept[x]) & (left[gap - x] > kept[gap - x])]:
+        take(first, int(n), int(gap - n))
+        if not left[first]:
             return
-    # triples: for each b, the pairs that sum to what is left of the gap
-    for x in range(min(gap - 2, first), (gap - 1) // 3, -1):
-        if not left[x]:
+
+
+def _fill_by_three(first: int, gap: int, left: np.ndarray, kept: np.ndarray, take) -> None:
+    """For each second length, the pairs that sum to what is left of the gap."""
+    for second in range(min(gap - 2, first), (gap - 1) // 3, -1):
+        if left[second] <= kept[second]:
             continue
-        rest = gap - x
-        c = np.arange(min(rest - 1, x), (rest - 1) // 2, -1)
-        for y in c[(left[c] > 0) & (left[rest - c] > 0)]:
-            take((first, x, int(y), int(rest - y)))
+        rest = gap - second
+        x = np.arange(min(rest - 1, second), (rest - 1) // 2, -1)
+        for n in x[(left[x] > kept[x]) & (left[rest - x] > kept[rest - x])]:
+            take(first, second, int(n), int(rest - n))
             if not left[first]:
                 return
-            if not left[x]:
+            if left[second] <= kept[second]:
                 break
 
 

@@ -175,10 +175,25 @@ def test_exact_complements_are_found():
     """A single, a pair and a triple of lengths that each fill a gap exactly, as often as the counts allow."""
     counts = np.zeros(101, np.int64)
     counts[[60, 40, 70, 19, 11, 80, 9, 8, 3, 100]] = [5, 5, 2, 2, 2, 3, 3, 3, 3, 1]
-    plan = packing.plan_sequences(counts, 100)
+    plan = packing.plan_sequences(counts, 100, spare=0)
     assert sum(times for _, times in plan) == 11 and all(sum(combo) == 100 for combo, _ in plan)
 
 
+def test_singles_pairs_and_triples_are_all_in_the_plan(spark):
+    """On the documents themselves, and near the bound that their tokens set."""
+    pieces = packing.token_pieces(spark.read.parquet(f"{SF}/documents.parquet"), TOKENIZER)
+    counts = np.zeros(1025, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    plan = packing.plan_sequences(counts)
+    exact = Counter()
+    for combo, times in plan:
+        exact[len(combo)] += times * (sum(combo) == 1024)
+    assert exact[2] and exact[3] and exact[4]
+    bound = -(-int((counts * np.arange(1025)).sum()) // 1024)
+    assert sum(times for _, times in plan) <= bound + 2
+
+
 def test_lengths_out_of_range_are_refused(spark):
     pieces = spark.createDataFrame([(1, 0, 0)], "doc_id long, piece int, length long")
     with pytest.raises(ValueError, match="lengths"):
