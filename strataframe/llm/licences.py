@@ -2,8 +2,8 @@
 
 Lines, sentences and blocks (runs of paragraphs or of comment lines) that hold a word of licences are notices; equal ones
 are scored once. A licence file (by its name) is scored by its whole text too. A file without a licence of its own takes that of the nearest directory above it that
-holds a licence file. Everything is DataFrame operations: word vectors are rows (text, word, weight), cosines are a
-join on the word with the templates' vectors, which are few and broadcast, and directories are joined to the
+holds a licence file. Everything is DataFrame operations: a text's words are rows that stay where the text lies, cosines
+are sums over a join with the words of the templates, which are few and broadcast, and directories are joined to the
 ancestors of the distinct directories that need one.
 """
 
@@ -118,35 +118,46 @@ def template_vectors(spark: SparkSession, templates=None) -> DataFrame:
     return spark.createDataFrame(list(templates), "licence string, notice string")
 
 
+def template_words(templates: DataFrame) -> DataFrame:
+    """(word, idf, known): each word of the templates, and where it occurs as (template, licence, unit weight). Stored.
+
+    A word's rarity counts templates alone, so that a file's licence does not depend on what other files are scanned;
+    :func:`unknown_rarity` is that of any other word.
+    """
+    names = templates.select("licence", "notice", F.concat_ws(" ", F.sha2("notice", 256), "licence").alias("template")).distinct()
+    counts = names.select("template", "licence", F.explode(_words(F.col("notice"))).alias("word")).groupBy("template", "licence", "word").agg(F.count("*").alias("tf"))
+    total = names.agg(F.count("*").alias("n")).scalar()
+    rarity = counts.groupBy("word").agg((F.log((total + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    weighted = counts.join(rarity, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    units = weighted.join(norms, "template").select("word", "idf", F.struct("template", "licence", (F.col("w") / F.col("norm")).alias("u")).alias("k"))
+    return materialise(units.groupBy("word", "idf").agg(F.collect_list("k").alias("known")), "template_words")
+
+
+def unknown_rarity(templates: DataFrame) -> Column:
+    """The rarity of a word that no template holds."""
+    return templates.distinct().agg((F.log(F.count("*") + 1) + 1).alias("idf")).scalar()
+
+
 def cosines(texts: DataFrame, templates: DataFrame) -> DataFrame:
     """(text_id, licence, cosine) for the best template of each distinct text (text_id, content).
 
-    A licence may have several templates. Inverse document frequencies count all distinct texts and the templates.
-    Ties go to the licence first by name.
+    A licence may have several templates. Ties go to the licence first by name. Where ``texts`` comes clustered by
+    text_id, a text's words are counted, weighed and summed where the text lies: the templates' words, which depend on
+    the templates alone, are broadcast, and no word is shuffled.
     """
-    names = templates.select("licence", "notice", F.concat_ws(" ", F.sha2("notice", 256), "licence").alias("template")).distinct()
-    pool = texts.select(F.lit(False).alias("_t"), "text_id", "content").unionByName(
-        names.select(F.lit(True).alias("_t"), F.col("template").alias("text_id"), F.col("notice").alias("content"))
+    words = texts.select("text_id", F.explode(_words(F.col("content"))).alias("word")).groupBy("text_id", "word").agg(F.count("*").alias("tf"))
+    met = words.join(F.broadcast(template_words(templates)), "word", "left")
+    weight = F.col("tf") * F.coalesce("idf", unknown_rarity(templates))
+    own = F.struct(F.lit(None).cast("string").alias("template"), F.lit(None).cast("string").alias("licence"), F.col("w").alias("u"))
+    parts = met.withColumn("w", weight).select("text_id", "w", F.explode(F.concat(F.array(own), F.coalesce("known", F.array()))).alias("k"))
+    dots = parts.groupBy("text_id", "k.template", "k.licence").agg(F.sum(F.col("w") * F.col("k.u")).alias("dot"))  # of no template: the squares
+    per_text = dots.groupBy("text_id").agg(
+        F.sqrt(F.max(F.when(F.col("template").isNull(), F.col("dot")))).alias("norm"),
+        F.min(F.when(F.col("template").isNotNull(), F.struct((-F.round("dot", 12)).alias("d"), "licence", "dot"))).alias("b"),
     )
-    counts = pool.select("_t", "text_id", F.explode(_words(F.col("content"))).alias("word")).groupBy("_t", "text_id", "word")
-    counts = materialise(counts.agg(F.count("*").alias("tf")), "words")
-    total = pool.agg(F.count("*").alias("n")).scalar()
-    rarity = counts.groupBy("word").agg((F.log((total + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    weighted = counts.join(rarity, "word").select("_t", "text_id", "word", (F.col("tf") * F.col("idf")).alias("w"))
-    weighted = materialise(weighted, "weights")
-    norms = weighted.groupBy("_t", "text_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    norms = materialise(norms, "norms")
-    known = weighted.filter("_t").select(F.col("text_id").alias("template"), "word", F.col("w").alias("w_t"))
-    known = known.join(norms.filter("_t").select(F.col("text_id").alias("template"), F.col("norm").alias("norm_t")), "template")
-    known = known.join(F.broadcast(names.select("template", "licence")), "template")
-    dots = (
-        weighted.filter("not _t").join(F.broadcast(known), "word")  # one row per template and word
-        .groupBy("text_id", "template", "licence", "norm_t").agg(F.sum(F.col("w") * F.col("w_t")).alias("dot"))
-    )
-    scored = dots.join(norms.filter("not _t").select("text_id", "norm"), "text_id")
-    scored = scored.withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("norm_t")), 6))
-    best = scored.groupBy("text_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-    return best.select("text_id", (-F.col("b.c")).alias("cosine"), F.col("b.licence").alias("licence"))
+    cosine = F.round(F.col("b.dot") / F.col("norm"), 6)
+    return per_text.filter("b is not null").select("text_id", cosine.alias("cosine"), F.col("b.licence").alias("licence"))
 
 
 def licence_scan(files: DataFrame, templates: DataFrame | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -182,6 +193,7 @@ def licence_scan(files: DataFrame, templates: DataFrame | None = None, min_cosin
         "_at", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
     )
     nearest = above.join(granting, F.col("col") == F.col("_dir")).groupBy("_at").agg(F.max_by("_granted", "pos").alias("_granted"))
+    nearest = materialise(nearest, "nearest")  # directories with a licence: their size, known now, decides on a broadcast
 
     own = own.select(F.col("doc_id").alias("_id"), F.col("path").alias("_path"), "licence", "cosine")
     out = files.select("doc_id", "path", directory.alias("_place")).join(

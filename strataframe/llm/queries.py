@@ -99,7 +99,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", "taken",
         F.round(F.get("positions", F.lit(0)), 6).alias("first_position"),
-    ).orderBy("first_position")
+    ).orderBy("first_position", F.xxhash64("doc_id"), "doc_id")
 
 
 @_query("op2_quality_classifier")
@@ -140,12 +140,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licences.TEMPLATES)
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licences.all_templates())
 
 LICENCES_SQL = rf"""
 with f as (
   select doc_id, coalesce(text, '') as text, coalesce(source, '') || '/' || coalesce(lang, '') || '/'
-    || case when length(coalesce(text, '')) < 400 and regexp_matches(coalesce(text, ''), '(?i)licen[sc]e|all rights reserved|public domain')
+    || case when regexp_matches(coalesce(text, ''), '(?i)licen[sc]e|all rights reserved|public domain')
        then 'LICENSE.' else '' end || coalesce(doc_id::varchar, '') as path
   from documents),
 p as (
@@ -156,20 +156,20 @@ n as (
   select distinct * from p
   where regexp_matches(content, '(?i)licen[sc]e|all rights reserved|public domain')),
 t(licence, notice) as (values {_TEMPLATE_ROWS}),
-pool as (
-  select false as t, content as id, content from (select distinct content from n) union all select true, licence, notice from t),
-c as (
-  select t, id, word, count(*) as tf
-  from (select t, id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+(?:[.+-][a-z0-9]+)*')) as word from pool) group by all),
-i as (select word, ln(((select count(*) from pool) + 1) / (count(*) + 1)) + 1 as idf from c group by word),
-w as (select t, id, c.word, tf * idf as w from c join i on c.word = i.word),
-norms as (select t, id, sqrt(sum(w * w)) as norm from w group by t, id),
-dots as (
-  select a.id, b.id as licence, sum(a.w * b.w) as dot
-  from w a join w b on a.word = b.word where not a.t and b.t group by a.id, b.id),
-scored as (
-  select d.id, d.licence, round(dot / (x.norm * y.norm), 6) as cosine
-  from dots d join norms x on x.id = d.id and not x.t join norms y on y.id = d.licence and y.t),
+tw as (
+  select licence, notice, word, count(*) as tf
+  from (select licence, notice, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+(?:[.+-][a-z0-9]+)*')) as word from t) group by all),
+i as (select word, ln(((select count(*) from t) + 1) / (count(*) + 1)) + 1 as idf from tw group by word),
+tv as (select licence, notice, tw.word, tf * idf as w from tw join i on tw.word = i.word),
+tn as (select licence, notice, sqrt(sum(w * w)) as norm from tv group by all),
+tu as (select licence, notice, word, w / norm as u from tv join tn using (licence, notice)),
+cw as (
+  select content as id, word, count(*) as tf
+  from (select content, unnest(regexp_extract_all(lower(content), '[a-z0-9]+(?:[.+-][a-z0-9]+)*')) as word from (select distinct content from n)) group by all),
+w as (select id, cw.word, tf * coalesce(idf, ln((select count(*) from t) + 1) + 1) as w from cw left join i on cw.word = i.word),
+norms as (select id, sqrt(sum(w * w)) as norm from w group by id),
+dots as (select id, licence, notice, sum(w * u) as dot from w join tu on w.word = tu.word group by all),
+scored as (select d.id, d.licence, round(dot / norm, 6) as cosine from dots d join norms x on x.id = d.id),
 own as (
   select doc_id, path, licence, cosine from n join scored s on s.id = n.content where cosine >= 0.8
   qualify row_number() over (partition by doc_id, path order by cosine desc, licence) = 1),
@@ -188,10 +188,10 @@ from out
 
 @_query("op6_licence_scan", LICENCES_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents laid out as files below source/lang; a short text with a notice is its directory's licence file."""
+    """Documents laid out as files below source/lang; a text with a notice is a licence file of its directory."""
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    name = F.when((F.length(text) < 400) & text.rlike(licences.CUE), "LICENSE.").otherwise("")
+    name = F.when(text.rlike(licences.CUE), "LICENSE.").otherwise("")
     path = F.concat(
         F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), name,
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
