@@ -11,6 +11,7 @@ ranges, over which its pages are spread.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -55,7 +56,7 @@ class _Sweep:
     """Open hosts from the outermost to the innermost, each with its rules by path."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, dict[str, tuple[str, str]]]] = []
+        self.open: list[tuple[str, dict[str, tuple[str, str]], list[int]]] = []  # with the rules' lengths, ascending
 
     def move(self, key: str) -> None:
         while self.open and not key.startswith(self.open[-1][0]):
@@ -64,17 +65,20 @@ class _Sweep:
     def add(self, key: str, path: str, rule: str, verdict: str) -> None:
         self.move(key)
         if not self.open or self.open[-1][0] != key:
-            self.open.append((key, {}))
-        rules = self.open[-1][1]
+            self.open.append((key, {}, []))
+        _, rules, lengths = self.open[-1]
         if path not in rules or verdict == "block":
             rules[path] = (rule, verdict)
+        at = bisect_left(lengths, len(path))
+        if at == len(lengths) or lengths[at] != len(path):
+            lengths.insert(at, len(path))
 
     def find(self, key: str, path: str) -> tuple[str, str] | None:
         self.move(key)
         best: tuple[str, str] | None = None
-        for _, rules in self.open:
-            for n in sorted({len(p) for p in rules}, reverse=True):
-                found = rules.get(path[:n]) if n <= len(path) else None
+        for _, rules, lengths in self.open:
+            for n in reversed(lengths[: bisect_right(lengths, len(path))]):
+                found = rules.get(path[:n])
                 if found:
                     if best is None or len(found[0]) >= len(best[0]):
                         best = found
