@@ -154,7 +154,7 @@ def token_rows(rows: DataFrame) -> DataFrame:
 def learn_lexicon(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Lexicon:
     scored = counts.select("token", log_odds(toxic, clean, max(1, n_toxic), max(1, n_clean)).alias("score"))
     telling = scored.filter(F.abs(F.col("score") + DRIFT) > 1e-6)
-    found = telling.orderBy(F.col("score").desc(), "token").limit(VOCABULARY).toArrow()
+    found = telling.orderBy(F.abs(F.col("score") + DRIFT).desc(), "token").limit(VOCABULARY).toArrow()
     return Lexicon(found["token"].to_numpy(), found["score"].to_numpy())
 
 
