@@ -16,6 +16,7 @@ linked with any but its equal is left out of the buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from strataframe.plans.storage import materialise
 BANDS, ROWS = 21, 6
 #: ... so for lower thresholds bands are shorter and more: 30 bands of 5 bins miss a pair at 0.8 with 7e-6.
 WIDE_BANDS, WIDE_ROWS = 30, 5
+MISSED = 1e-4  # at most, of the pairs at a threshold below 0.8
+MOST_BINS = 160
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -139,6 +142,23 @@ def linked(n_a: Column, n_b: Column, common: Column, percent: int) -> Column:
     return 100 * common >= percent * (n_a + n_b - common)
 
 
+def band_layout(percent: int) -> tuple[int, int]:
+    """(bands, bins in each) for a threshold: the longest bands of which ``MOST_BINS`` bins hold enough.
+
+    A threshold for which none does (below 5 percent) is an error, because too many pairs would be missed.
+    """
+    if percent >= 85:
+        return BANDS, ROWS
+    if percent >= 80:
+        return WIDE_BANDS, WIDE_ROWS
+    for rows in range(WIDE_ROWS - 1, 0, -1):
+        meets = (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log1p(-meets)) if meets > 0 else MOST_BINS + 1
+        if bands * rows <= MOST_BINS:
+            return bands, rows
+    raise ValueError(f"no banding finds pairs at {percent} percent often enough")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -149,8 +169,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     null and they are kept. Rows that share an id are one node; repeated rows get equal results. An empty table gives
     no rows.
     """
-    least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
-    bands, rows = (BANDS, ROWS) if percent >= 85 else (WIDE_BANDS, WIDE_ROWS)
+    # the smallest set that can be linked with another one; at 100 percent only equal sets are
+    least = next((n for n in range(1, 1000) if 100 * n >= percent * (n + 1)), 1 << 62)
+    bands, rows = band_layout(percent)
     signed = docs.select("doc_id", _signature_udf(width, bands, rows, least)(F.col(text)).alias("s"))
     signed = materialise(signed.select("doc_id", "s.n", "s.set_id", "s.bands"), "signatures")
 

@@ -64,6 +64,33 @@ def test_stars_lose_no_link_behind_an_unlinked_hub(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 3, 85).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [30, 50, 70, 85, 100])
+def test_pairs_at_the_threshold_are_found(spark, percent):
+    """300 pairs of texts whose sets are just similar enough, at any threshold."""
+    rng = np.random.default_rng(percent)
+    common = next(n for n in range(1, 400) if 100 * n >= percent * (400 - n))  # of two sets of 200
+    rows = []
+    for i in range(300):
+        shared, own = [f"{i}s{k}" for k in range(common + 2)], [[f"{i}{side}{k}" for k in range(200 - common)] for side in "ab"]
+        rows += [(2 * i, " ".join(shared + own[0])), (2 * i + 1, " ".join(shared + own[1]))]
+    docs = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, percent).collect()}
+    texts = dict(rows)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in texts.items()}
+    linked = [i for i in range(0, 600, 2) if 100 * len(sets[i] & sets[i + 1]) >= percent * len(sets[i] | sets[i + 1])]
+    assert len(linked) == 300
+    assert np.mean([found[i] == found[i + 1] for i in linked]) >= 0.97
+    assert all(found[i] == i for i in range(0, 600, 2))
+
+
+def test_thresholds_without_a_banding_are_refused(spark):
+    with pytest.raises(ValueError, match="no banding"):
+        minhash.band_layout(2)
+    for percent in (5, 20, 40, 60, 75):
+        bands, size = minhash.band_layout(percent)
+        assert (1 - (percent / 100) ** size) ** bands <= 1e-4 and bands * size <= 160
+
+
 def test_near_duplicates_on_odd_rows(odd_docs):
     got = rows_of(minhash.near_duplicates(odd_docs), "doc_id", "n_shingles", "component_id", "kept")
     assert [r for r in got if r[0] in (1, 2, 3, 4, 5, 8)] == [
