@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from strataframe.operators.cohort import Cohort, HospitalTables, StudySpec
 from strataframe.functions.codes import code_in
 from strataframe.operators.joins import flag_in_keys, left
-from strataframe.plans.ordering import exact_quantiles, value_counts
+from strataframe.plans.ordering import exact_quantiles, range_rank, value_counts
+from strataframe.plans.spread import join_groups
 from strataframe.plans.storage import materialise
 from strataframe.sources.tables import metric_table
 
@@ -170,7 +171,7 @@ def grouped_counts(df: DataFrame, columns: Sequence[str], group: str, total: boo
 
 
 def cont_stats(df: DataFrame, columns: Sequence[str], group: str, total: bool = True) -> DataFrame:
-    """Mean, sample SD, exact quartiles and missing count per (group, variable)."""
+    """Mean, sample SD, exact quartiles and missing count per (group, variable); NULL is a group of its own."""
     aggs = []
     for c in columns:
         aggs += [
@@ -187,7 +188,6 @@ def cont_stats(df: DataFrame, columns: Sequence[str], group: str, total: bool =
         )
     else:
         moments = rows.groupBy(F.col("_group").alias("group")).agg(size, *aggs)
-    moments = moments.filter(F.col("group").isNotNull())
     cells = [f"{c}|{s}" for c in columns for s in ("mean", "sd", "missing")]
     long = moments.select("group", "n", *cells).unpivot(["group", "n"], cells, "cell", "x")
     parts = F.split("cell", r"\|")
@@ -196,7 +196,7 @@ def cont_stats(df: DataFrame, columns: Sequence[str], group: str, total: bool =
     )
     counts = grouped_counts(df, columns, group, total)
     quartiles = exact_quantiles(counts, ["group", "variable"], "value", QUARTILES)
-    return per.join(quartiles, ["group", "variable"], "left").select(
+    return join_groups(per, quartiles, ["group", "variable"], "left").select(
         "group",
         "variable",
         F.col("n").cast("long").alias("n"),
@@ -239,10 +239,8 @@ def table_one(
             *columns, F.lit(1).alias("late")
         )
     )
-    # one row per level of a categorical variable
-    place = F.row_number().over(W.partitionBy("variable").orderBy("late", "level"))
-    cats = rows.select(
-        (start[F.col("variable")] + place).alias("pos"),
+    cats = range_rank(rows, ["variable"], [F.col("late"), F.col("level")], "place").select(
+        (start[F.col("variable")] + F.col("place")).alias("pos"),
         F.concat(F.lit("  "), "level").alias("Variable"),
         *[
             F.concat(F.col(g).cast("string"), F.lit(" ("), cell(f"{g}_pct", 0), F.lit("%)")).alias(g)
@@ -290,17 +288,16 @@ def table_one(
 
 
 def group_share(df: DataFrame, group: str, level: str) -> DataFrame:
-    """Percent of each level within its group; rows without a level are left out."""
+    """Percent of each level within its group, NULL being one; rows without a level are left out."""
     counts = df.filter(F.col(level).isNotNull()).groupBy(group, level).agg(F.count(F.lit(1)).alias("count"))
     sizes = counts.groupBy(group).agg(F.sum("count").alias("_size"))
-    return counts.join(sizes, group).withColumn("pct", F.col("count") / F.col("_size") * 100.0).drop("_size")
+    return join_groups(counts, sizes, [group]).withColumn("pct", F.col("count") / F.col("_size") * 100.0).drop("_size")
 
 
 def level_order(df: DataFrame, level: str) -> DataFrame:
     """Levels by frequency, the most frequent first, ties by name; ``place`` starts at 1."""
     counts = df.filter(F.col(level).isNotNull()).groupBy(level).agg(F.count(F.lit(1)).alias("n"))
-    ranked = W.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), level)  # one row per level
-    return counts.withColumn("place", F.row_number().over(ranked))
+    return range_rank(counts, [], [F.col("n").desc(), F.col(level)], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def demographic_numbers(df: DataFrame, group: str, vitals: Sequence[str] = VITALS) -> DataFrame:
@@ -316,7 +313,7 @@ def demographic_numbers(df: DataFrame, group: str, vitals: Sequence[str] = VITAL
     picks = [of("anchor_age", s).alias(f"age_{s}") for s in ("mean", "sd", "median", "q1", "q3")]
     for v in vitals:
         picks += [of(v, s).alias(f"{v}_{s}") for s in ("mean", "sd", "missing_pct")]
-    return stats.groupBy("group").agg(F.max("n").alias("n"), *picks).join(male, "group")
+    return join_groups(stats.groupBy("group").agg(F.max("n").alias("n"), *picks), male, ["group"])
 
 
 def demographic_summary(df: DataFrame, group: str, vitals: Sequence[str] = VITALS) -> DataFrame:
@@ -342,7 +339,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     aggs = [F.stddev_pop(c).alias(f"sd|{c}") for c in columns]
     aggs += [F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs]
-    wide = df.select(F.col(group).cast("string").alias("group"), *columns).dropna().groupBy("group").agg(*aggs)
+    wide = df.select(F.col(group).cast("string").alias("group"), *columns).dropna(subset=list(columns)).groupBy("group").agg(*aggs)
     ratios = [
         F.try_divide(F.col(f"{a}|{b}"), F.col(f"sd|{a}") * F.col(f"sd|{b}")).alias(f"{a}|{b}") for a, b in pairs
     ]

@@ -1,4 +1,4 @@
-"""Histograms, kernel densities and box statistics per group."""
+"""Histograms, kernel densities and box statistics per group; rows without a group are a group of their own."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strataframe.operators.describe import QUARTILES, grouped_counts
 from strataframe.plans.ordering import exact_quantiles
-from strataframe.plans.spread import attach_groups
+from strataframe.plans.spread import attach_groups, join_groups
 
 
 def histogram(df: DataFrame, c: str, group: str, bins: int = 30) -> DataFrame:
@@ -33,7 +33,7 @@ def histogram(df: DataFrame, c: str, group: str, bins: int = 30) -> DataFrame:
     sizes = counts.groupBy("group").agg(F.sum("n").alias("size"), F.first("s").alias("s"))
     every = sizes.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("s.hi") - F.col("s.lo")) / bins
-    return every.join(counts.drop("s"), ["group", "bin"], "left").select(
+    return join_groups(every, counts.drop("s"), ["group", "bin"], "left").select(
         "group",
         "bin",
         (F.col("s.lo") + F.col("bin") * width).alias("left"),
@@ -91,7 +91,8 @@ def _kernel_sums(grid: int, block: int = 4_096):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, list] = {}
         for batch in batches:
-            for key, part in batch.groupby(["group", "variable"], sort=False):
+            for (group, variable), part in batch.groupby(["group", "variable"], sort=False, dropna=False):
+                key = (None if pd.isna(group) else group, variable)
                 if key not in sums:
                     head = part.iloc[0]
                     step = (head["hi"] - head["lo"]) / (grid - 1)
@@ -148,4 +149,4 @@ def violin_stats(df: DataFrame, columns: Sequence[str], group: str, grid: int =
     """Density cut to each group's own range, with the quartile lines on every grid row."""
     counts = grouped_counts(df, columns, group, total=False)
     quartiles = exact_quantiles(counts, ["group", "variable"], "value", QUARTILES)
-    return _kde(counts, grid, common_grid=False).join(quartiles, ["group", "variable"])
+    return join_groups(_kde(counts, grid, common_grid=False), quartiles, ["group", "variable"])

@@ -7,9 +7,11 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -112,3 +114,113 @@ def explained_variance(df: DataFrame, model: FittedPca) -> DataFrame:
     """``component, ratio``, one row per component."""
     rows = [(i, v) for i, v in enumerate(model.explained_variance)]
     return df.sparkSession.createDataFrame(rows, "component int, ratio double")
+
+
+def eigen_check(df: DataFrame, c: str, model: FittedPca) -> DataFrame:
+    """``(component, residual, peak)``: what shows that loadings are eigenvectors and follow the sign rule.
+
+    ``residual`` is the largest cell of covariance times loading less eigenvalue times loading, where the product with
+    the covariance is summed on the executors from centred rows and their scores, without the covariance itself;
+    ``peak`` is the loading of largest size, with the sign it is used with. Null vectors are not allowed; with fewer
+    than two rows nothing is known and no row is given.
+    """
+    loadings = model.pca.pc.toArray() * model.signs
+    width, k = loadings.shape
+    shared = df.sparkSession.sparkContext.broadcast(loadings)
+    vectors = df.select(_vector(df, c).alias("_vec"))
+    centred = model.scaler.transform(vectors).select(vector_to_array("_centred").alias("x"))
+
+    def products(batches):
+        total, squares, rows = np.zeros((width, k)), np.zeros(width), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            total += x.T @ (x @ shared.value)
+            squares += (x * x).sum(0)
+            rows += len(x)
+        yield pa.RecordBatch.from_pydict({"p": [total.ravel()], "s": [squares], "n": [rows]})
+
+    parts = centred.mapInArrow(products, "p array<double>, s array<double>, n long")
+    summed = lambda name: parts.select(F.posexplode(name)).groupBy("pos").agg(F.sum("col").alias("v"))
+    rows = parts.agg(F.sum("n")).first()[0] or 0
+    if rows < 2:
+        return df.sparkSession.createDataFrame([], "component int, residual double, peak double")
+    moved = np.zeros(width * k)
+    for r in summed("p").collect():  # width x components numbers, whatever the rows
+        moved[r["pos"]] = r["v"]
+    total = summed("s").agg(F.sum("v")).first()[0] / (rows - 1)
+    values = np.asarray(model.explained_variance) * total
+    off = np.abs(moved.reshape(width, k) / (rows - 1) - loadings * values).max(0)
+    peaks = loadings[np.argmax(np.abs(loadings), axis=0), np.arange(k)]
+    found = [(i, float(off[i]), float(peaks[i])) for i in range(k)]
+    return df.sparkSession.createDataFrame(found, "component int, residual double, peak double")
+
+
+class FoldPca:
+    """Principal components of the rows outside each fold, by fold."""
+
+    def __init__(self, means: np.ndarray, loadings: np.ndarray, ratios: np.ndarray):
+        self.means, self.loadings, self.ratios = means, loadings, ratios
+
+    def transform(self, df: DataFrame, c: str, without: str, prefix: str = "cc_pca_") -> DataFrame:
+        """Scores of each row by the components of the training rows of the fold in its column ``without``."""
+        shared = df.sparkSession.sparkContext.broadcast((self.means, self.loadings))
+        k = self.loadings.shape[2]
+
+        @F.arrow_udf("array<double>")
+        def scores(vectors: pa.Array, fold: pa.Array) -> pa.Array:
+            means, loadings = shared.value
+            x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(fold), -1)
+            f = fold.to_numpy(zero_copy_only=False)
+            out = np.zeros((len(f), k))
+            for at in np.unique(f):
+                out[f == at] = (x[f == at] - means[at]) @ loadings[at]
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * k), pa.array(out.ravel()))
+
+        numbers = F.col(c).cast("array<double>") if isinstance(df.schema[c].dataType, T.ArrayType) else vector_to_array(c)
+        named = df.withColumn("_scores", scores(numbers, F.col(without).cast("int")))
+        return named.withColumns({f"{prefix}{i}": F.col("_scores")[i] for i in range(k)}).drop("_scores")
+
+
+def fold_pca(df: DataFrame, c: str, fold: str, folds: int, k: int) -> FoldPca:
+    """Components of each fold's training rows from one pass: sums and products per fold, the total less one fold.
+
+    Tasks add up ``x`` and ``x x'`` of their rows by fold; those are summed on the executors row by row of the matrix.
+    What reaches the driver are ``folds`` matrices of the vectors' width, whatever the number of rows.
+    """
+    is_array = isinstance(df.schema[c].dataType, T.ArrayType)
+    cells = df.select((F.col(c).cast("array<double>") if is_array else vector_to_array(c)).alias("x"), F.col(fold).cast("int").alias("fold"))
+
+    def products(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            f = batch["fold"].to_numpy(zero_copy_only=False)
+            for at in np.unique(f):
+                part = np.column_stack([np.ones((f == at).sum()), x[f == at]])
+                sums[int(at)] = sums.get(int(at), 0.0) + part.T @ part
+        for at, total in sums.items():
+            rows = {"fold": np.full(len(total), at, np.int32), "i": np.arange(len(total), dtype=np.int32), "v": list(total)}
+            yield pa.RecordBatch.from_pydict(rows)
+
+    parts = cells.mapInArrow(products, "fold int, i int, v array<double>").withColumn("v", array_to_vector("v"))
+    found = parts.groupBy("fold", "i").agg(Summarizer.sum(F.col("v")).alias("v")).collect()
+    if not found:
+        raise ValueError("no rows to find components of")
+    width = len(found[0]["v"])
+    gram = np.zeros((folds, width, width))
+    for r in found:
+        gram[r["fold"], r["i"]] = r["v"].toArray()
+    means, loadings, ratios = [], [], []
+    for at in range(folds):
+        left = gram.sum(0) - gram[at]
+        n, mean = left[0, 0], left[0, 1:] / max(left[0, 0], 1.0)
+        spread = (left[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1.0, 1.0)
+        values, vectors = np.linalg.eigh(spread)
+        order = np.argsort(values)[::-1][:k]
+        peaks = vectors[np.argmax(np.abs(vectors[:, order]), axis=0), order]
+        means.append(mean)
+        loadings.append(vectors[:, order] * np.where(peaks < 0, -1.0, 1.0))
+        ratios.append(values[order] / max(values.sum(), 1e-300))
+    return FoldPca(np.asarray(means), np.asarray(loadings), np.asarray(ratios))

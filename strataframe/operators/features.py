@@ -55,6 +55,52 @@ def mode_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(filled).drop(*[f"_mode_{c}" for c in columns])
 
 
+# --- the same by cross-validation fold: what a fold's held-out rows must not tell ---------------------
+
+WITHOUT = "without"  # the fold that a row's statistics leave out
+
+
+def _training_counts(counts: DataFrame, by: Sequence[str], fold: str, folds: int) -> DataFrame:
+    """Counts ``n`` per (by, fold) turned into ``n`` per (by, ``without``): the total less one fold, where anything is left."""
+    per = counts.groupBy(*by).agg(F.sum("n").alias("_all"), F.map_from_entries(F.collect_list(F.struct(fold, "n"))).alias("_of"))
+    each = per.withColumn(WITHOUT, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    left = F.col("_all") - F.coalesce(F.try_element_at("_of", F.col(WITHOUT)), F.lit(0))
+    return each.withColumn("n", left).filter(F.col("n") > 0).select(WITHOUT, *by, "n")
+
+
+def fold_medians(df: DataFrame, columns: Sequence[str], fold: str, folds: int) -> DataFrame:
+    """``(without, variable, median)``: exact medians of all rows outside each fold, from one pass over the rows.
+
+    Values are counted per fold once; a fold's training counts are the total's less its own.
+    """
+    long = df.select(F.col(fold).cast("int").alias("fold"), *[F.col(c).cast("double").alias(c) for c in columns])
+    long = long.unpivot(["fold"], list(columns), "variable", "value")
+    counts = _training_counts(value_counts(long, ["variable", "fold"], "value"), ["variable", "value"], "fold", folds)
+    return exact_quantiles(materialise(counts, "fold_values"), [WITHOUT, "variable"], "value", {"median": 0.5})
+
+
+def fold_modes(df: DataFrame, columns: Sequence[str], fold: str, folds: int) -> DataFrame:
+    """``(without, variable, mode)``: the most frequent value outside each fold, the smallest on ties."""
+    long = df.select(F.col(fold).cast("int").alias("fold"), *[F.col(c).cast("string").alias(c) for c in columns])
+    long = long.unpivot(["fold"], list(columns), "variable", "value")
+    counts = _training_counts(value_counts(long, ["variable", "fold"], "value"), ["variable", "value"], "fold", folds)
+    return counts.groupBy(WITHOUT, "variable").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+
+
+def by_fold(df: DataFrame, folds: int) -> DataFrame:
+    """Every row once for each fold that may be left out, as ``without``."""
+    return df.withColumn(WITHOUT, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+
+
+def fill_by_fold(rows: DataFrame, statistics: DataFrame, value: str, columns: Sequence[str]) -> DataFrame:
+    """NULLs of :func:`by_fold` rows filled with their fold's training statistic (without, variable, ``value``)."""
+    cell = F.struct(F.concat_ws("|", F.col(WITHOUT).cast("string"), "variable"), value)
+    known = statistics.agg(F.map_from_entries(F.collect_list(cell)).alias("m")).scalar()  # folds x columns cells
+    at = lambda c: F.try_element_at("_m", F.concat_ws("|", F.col(WITHOUT).cast("string"), F.lit(c)))
+    kinds = dict(statistics.dtypes)
+    return rows.withColumn("_m", known).withColumns({c: F.coalesce(F.col(c).cast(kinds[value]), at(c)) for c in columns}).drop("_m")
+
+
 def sorted_levels(df: DataFrame, c: str) -> list[str]:
     """The distinct levels in order, from one aggregate. They become columns of a plan, so they are meant to be few;
     a domain too large for that is encoded by :func:`one_hot_vector`."""

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+
+from strataframe.operators.joins import repeated_keys
+from strataframe.plans.storage import materialise
 
 # Inclusive plausibility ranges; a missing value passes.
 VITAL_RANGES = {
@@ -66,15 +69,38 @@ def validate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return df.filter(keep)
 
 
-def rule_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """Per rule: rows that fail it, and rows it is the first to drop. One pass."""
+REPEATED_KEYS = "repeated_keys"
+
+
+def _rule_counts(rules: Mapping[str, Column]) -> list[Column]:
     held = {n: F.coalesce(r, F.lit(False)) for n, r in rules.items()}
     sums, before = [], F.lit(True)
     for name, ok in held.items():
         sums.append(F.count_if(~ok).alias(f"{name}|failed"))
         sums.append(F.count_if(before & ~ok).alias(f"{name}|dropped"))
         before = before & ok
-    wide = df.agg(*sums)
+    return sums
+
+
+def store_validated(df: DataFrame, rules: Mapping[str, Column], key: str, name: str = "validated") -> tuple[DataFrame, DataFrame]:
+    """Rows that satisfy every rule, stored, and the report of :func:`rule_report` from the pass that wrote them.
+
+    The counts are metrics observed on the way to storage, so ``df`` is run once, however expensive it is. The report
+    ends with ``repeated_keys``: rows beyond the first of their ``key``, which no rule drops, among the stored ones.
+    """
+    seen = Observation()
+    counts = _rule_counts(rules)
+    stored = materialise(validate(df.observe(seen, *counts), rules), name)
+    found = {n: [int(seen.get[f"{n}|{kind}"]) for kind in ("failed", "dropped")] for n in rules}
+    repeated = repeated_keys(stored, [key]).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
+    rows = [(n, *v) for n, v in found.items()] + [(REPEATED_KEYS, int(repeated), 0)]
+    return stored, df.sparkSession.createDataFrame(rows, "rule string, failed long, dropped long")
+
+
+def rule_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """Per rule: rows that fail it, and rows it is the first to drop. One pass."""
+    held = list(rules)
+    wide = df.agg(*_rule_counts(rules))
     rows = wide.unpivot([], [f"{n}|{k}" for n in held for k in ("failed", "dropped")], "cell", "n")
     parts = F.split("cell", r"\|")
     return (

@@ -4,40 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strataframe.operators.features import assemble, check_schema, standardize_vectors
-from strataframe.operators.splits import balanced_weights, pos_weight
-from strataframe.plans.storage import fresh_path, materialise
+from strataframe.functions.casts import fill_features
+from strataframe.operators import forests
+from strataframe.operators.features import WITHOUT, assemble, check_schema, standardize_vectors
+from strataframe.operators.splits import balanced_weights
+from strataframe.plans.ledger import Ledger, digest, fingerprint
+from strataframe.plans.ordering import next_values, running_totals
+from strataframe.plans.storage import materialise
 
 # Model names and seeds of the study.
 MODELS = ("LogisticRegression_L1", "RandomForest", "GradientBoostedTrees")
 SEED = 42
 TOP_FEATURES = 20
 
+_SLOWEST_FIRST = ("GradientBoostedTrees", "RandomForest", "LogisticRegression_L1")
+_FITS = 1  # part of a ledger's key: raise it when the same data and profile give other fits
+
+PREDICTIONS = "option string, model string, fold int, stay_id long, label int, prob double"
+IMPORTANCES = "option string, model string, fold int, feature string, imp double"
+
 
 @dataclass(frozen=True)
 class Profile:
     """Model sizes; the defaults are the study's, smaller ones serve tests."""
 
     trees: int = 500
-    tree_depth: int = 30  # the deepest MLlib grows
+    tree_depth: int | None = None  # grown until pure
+    bootstrap: bool = True
+    split_columns: int | None = None  # drawn for each split; the root of the columns' number
     rounds: int = 500
     round_depth: int = 6
     rate: float = 0.05
     iterations: int = 5_000
+    tolerance: float = 1e-10
     inverse_penalty: float = 1.0
     bins: int = 256
 
 
 def fit_lr_l1(train: DataFrame, profile: Profile = Profile()) -> Model:
-    """L1 logistic regression with balanced weights, which add up to the row count."""
+    """L1 logistic regression on all rows, with balanced weights, which add up to the row count."""
     rows = train.count()
     return LogisticRegression(
         labelCol="label",
@@ -47,55 +62,95 @@ def fit_lr_l1(train: DataFrame, profile: Profile = Profile()) -> Model:
         regParam=1.0 / (profile.inverse_penalty * rows),
         standardization=False,
         maxIter=profile.iterations,
+        tol=profile.tolerance,
     ).fit(balanced_weights(train, "label"))
 
 
-def fit_rf(train: DataFrame, profile: Profile = Profile()) -> Model:
-    return RandomForestClassifier(
-        labelCol="label",
-        featuresCol="features",
-        weightCol="weight",
-        numTrees=profile.trees,
-        maxDepth=profile.tree_depth,
-        featureSubsetStrategy="sqrt",
-        maxBins=profile.bins,
-        seed=SEED,
-    ).fit(balanced_weights(train, "label"))
+def l1_violation(train: DataFrame, model: Model, columns: Sequence[str], profile: Profile = Profile()) -> DataFrame:
+    """How far each coefficient is from optimal: ``(feature, violation)``, all 0 at a solution.
 
+    The weighted objective is convex, so a point is its minimum where 0 is a subgradient: the loss's gradient must be
+    minus the penalty in the direction of a coefficient that is not 0, and no larger than it where one is. The
+    gradient is summed on the executors; ``(intercept)`` is not penalised. ``train`` is what the model was fitted on.
+    """
+    rows = balanced_weights(train, "label")
+    prob = vector_to_array("probability")[1]
+    scored = model.transform(rows).select("features", "label", "weight", prob.alias("prob"))
+    # two sums with weights that are not negative
+    sums = {
+        "up": F.col("weight") * F.col("prob"),
+        "down": F.col("weight") * (F.col("label") == 1).cast("double"),
+    }
+    picks = [F.count(F.lit(1)).alias("n")]
+    for name, weight in sums.items():
+        picks += [F.sum(weight).alias(f"{name}_n"), Summarizer.mean(F.col("features"), weight).alias(name)]
+    s = scored.agg(*picks).first()
+    if not s["n"]:
+        return train.sparkSession.createDataFrame([], "feature string, violation double")
+    weighted = lambda name: s[name].toArray() * s[f"{name}_n"] if s[f"{name}_n"] else np.zeros(len(columns))
+    gradient = (weighted("up") - weighted("down")) / s["n"]
+    penalty = 1.0 / (profile.inverse_penalty * s["n"])
+    beta = model.coefficients.toArray()
+    off = np.where(beta == 0, np.maximum(np.abs(gradient) - penalty, 0), np.abs(gradient + penalty * np.sign(beta)))
+    found = [*zip(columns, map(float, off)), ("(intercept)", abs(s["up_n"] - s["down_n"]) / s["n"])]
+    return train.sparkSession.createDataFrame(found, "feature string, violation double")
 
-def fit_gbt(train: DataFrame, profile: Profile = Profile(), full: DataFrame | None = None) -> Model:
-    """Boosted trees; the positive weight comes from the full set, not from the fold."""
-    return GBTClassifier(
-        labelCol="label",
-        featuresCol="features",
-        weightCol="weight",
-        maxIter=profile.rounds,
-        maxDepth=profile.round_depth,
-        stepSize=profile.rate,
-        maxBins=profile.bins,
-        seed=SEED,
-    ).fit(pos_weight(train, "label", full=full))
 
+def split_gains(
+    df: DataFrame, columns: Sequence[str], a: Column, b: Column, shrink: float = 0.0, least: float = 0.0
+) -> DataFrame:
+    """``(feature, threshold, gain)`` of the best cut of each column, by one aggregate and running sums.
 
-def fit(name: str, train: DataFrame, profile: Profile, full: DataFrame | None = None) -> Model:
-    if name == "LogisticRegression_L1":
-        return fit_lr_l1(train, profile)
+    ``a`` and ``b`` are a row's shares of the sums by which a cut is judged: ``A**2 / (B + shrink)`` of both sides less
+    that of all rows, see :mod:`strataframe.functions.trees`. Rows collapse to (column, value) sums, combined
+    map-side; running sums over those give the sums left of every cut. Works on all rows, at any number of values.
+    Columns with one value have no cut and are left out. Of equal gains the lowest threshold counts.
+    """
+    names = {f"x{i}": c for i, c in enumerate(columns)}
+    shares = df.select(a.cast("double").alias("a"), b.cast("double").alias("b"), *[F.col(f"`{c}`").cast("double").alias(x) for x, c in names.items()])
+    long = shares.unpivot(["a", "b"], list(names), "feature", "value").filter("value is not null")
+    sums = materialise(long.groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "sums")
+    running = running_totals(sums, ["feature"], "value", {"a": "left_a", "b": "left_b"}, totals={"a": "all_a", "b": "all_b"})
+    following = next_values(materialise(running, "running"), ["feature"], "value", {"value": "next"})
+    part = lambda a, b: a * a / (b + F.lit(shrink))
+    left_a, left_b = F.col("left_a"), F.col("left_b")
+    right_a, right_b = F.col("all_a") - left_a, F.col("all_b") - left_b
+    gain = part(left_a, left_b) + part(right_a, right_b) - part(F.col("all_a"), F.col("all_b"))
+    cuts = following.filter(F.col("next").isNotNull() & (left_b >= least) & (right_b >= least) & (left_b > 0) & (right_b > 0))
+    named = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])[F.col("feature")]
+    found = cuts.select(named.alias("feature"), ((F.col("value") + F.col("next")) / 2).alias("threshold"), gain.alias("gain"))
+    best = found.groupBy("feature").agg(F.max(F.struct("gain", (-F.col("threshold")).alias("t"))).alias("m"))
+    return best.select("feature", (-F.col("m.t")).alias("threshold"), F.col("m.gain").alias("gain"))
+
+
+def fit_trees(
+    name: str, train: DataFrame, columns: Sequence[str], profile: Profile = Profile(), fit_rows: int = forests.FIT_ROWS
+) -> forests.TreeModel:
+    """A forest or boosted trees on ``train`` (stay_id, label, columns); see :mod:`strataframe.operators.forests`."""
+    sample = forests.draw_sample(train.withColumn("fold", F.lit(0)), columns, fit_rows, SEED)
+    shared = train.sparkSession.sparkContext.broadcast(sample)
+    return _fit_trees(name, train.sparkSession, shared, columns, profile)
+
+
+def _fit_trees(name: str, spark, shared, columns: Sequence[str], profile: Profile, without: int | None = None):
     if name == "RandomForest":
-        return fit_rf(train, profile)
+        return forests.fit_bagged(spark, shared, columns, profile, SEED, without)
     if name == "GradientBoostedTrees":
-        return fit_gbt(train, profile, full)
+        return forests.fit_boosted(spark, shared, columns, profile, without)
     raise ValueError(f"unknown model {name}")
 
 
-def score(model: Model, rows: DataFrame, keep: Sequence[str] = ("stay_id", "label")) -> DataFrame:
+def score(model, rows: DataFrame, keep: Sequence[str] = ("stay_id", "label")) -> DataFrame:
+    if isinstance(model, forests.TreeModel):
+        return model.score(rows, keep)
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("prob"))
 
 
-def importance(model: Model) -> list[float]:
-    """Absolute coefficients, or the impurity importance of trees."""
-    if hasattr(model, "coefficients"):
-        return [abs(float(v)) for v in model.coefficients.toArray()]
-    return [float(v) for v in model.featureImportances.toArray()]
+def importance(model) -> list[float]:
+    """Absolute coefficients, or the importance of trees."""
+    if isinstance(model, forests.TreeModel):
+        return model.importance()
+    return [abs(float(v)) for v in model.coefficients.toArray()]
 
 
 def cross_validate(
@@ -104,45 +159,75 @@ def cross_validate(
     models: Sequence[str] = MODELS,
     folds: int = 5,
     profile: Profile = Profile(),
-    parallel: int = 3,
+    parallel: int | None = None,
+    fit_rows: int = forests.FIT_ROWS,
+    ledger: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions ``(option, model, fold, stay_id, label, prob)`` and importances
     ``(option, model, fold, feature, imp)`` of every option x model x fold.
 
-    ``df`` carries ``stay_id, label, fold`` and the feature columns. Each option's vectors are stored once.
-    Each fit writes its predictions to shared storage, so finished fits survive a failure of a later one.
+    ``df`` carries ``stay_id, label, fold`` and the feature columns. With a column ``without`` (see
+    :func:`strataframe.operators.matrix.feature_table`) it holds every row once for each fold, and a fold is fitted and
+    scored on the rows whose imputers and components were fitted without it. Every fit commits what it found to a ledger,
+    below ``ledger`` or in shared storage, under a key made of the rows, the profile, the option's columns, the model
+    and the fold. Fits that are there already are not made again, so a run that was killed goes on where it stopped.
+    As many fits run at once as there are cores (or ``parallel``), those that take longest first. Trees are fitted on
+    ``fit_rows`` rows of each class at most; every row is scored.
     """
     spark = df.sparkSession
-    root = fresh_path(spark, "predictions")
+    union = list(dict.fromkeys(c for columns in options.values() for c in columns))
+    scoped = [WITHOUT] if WITHOUT in df.columns else []
+    rows = materialise(fill_features(df, union).select("stay_id", "label", "fold", *scoped, *[f"`{c}`" for c in union]), "rows")
+    book = Ledger(spark, digest([fingerprint(rows), asdict(profile), fit_rows, SEED, _FITS]), ledger)
+    entries = {
+        (option, model, fold): f"{option}-{digest(list(columns))}/{model}/fold-{fold}"
+        for model in sorted(models, key=_SLOWEST_FIRST.index)
+        for option, columns in options.items()
+        for fold in range(folds)
+    }
+    missing = [key for key, entry in entries.items() if not book.has(entry, "importances")]
     vectors = {
-        option: materialise(assemble(df, columns).select("stay_id", "label", "fold", "features"), "vectors")
+        option: materialise(assemble(rows, columns).select("stay_id", "label", "fold", *scoped, "features"), "vectors")
         for option, columns in options.items()
+        if any(o == option for o, _, _ in missing)
     }
 
-    def run(option: str, columns: Sequence[str], fold: int) -> list[tuple]:
-        rows = vectors[option]
-        train, test = standardize_vectors(rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold))
-        train = train.persist()
-        found = []
-        for name in models:
-            model = fit(name, train, profile, full=rows)
-            path = f"{root}/option={option}/model={name}/fold={fold}"
-            score(model, test).write.mode("overwrite").parquet(path)
-            found += [(option, name, fold, c, v) for c, v in zip(columns, importance(model))]
-        train.unpersist()
-        return found
-
-    with ThreadPoolExecutor(parallel) as pool:
-        jobs = [
-            pool.submit(inheritable_thread_target(spark)(run), option, columns, fold)
-            for option, columns in options.items()
-            for fold in range(folds)
-        ]
-        rows = [row for job in jobs for row in job.result()]
-    schema = "stay_id long, label int, prob double, option string, model string, fold int"
-    preds = spark.read.schema(schema).parquet(root)
-    imps = spark.createDataFrame(rows, "option string, model string, fold int, feature string, imp double")
-    return preds, imps
+    def within(table: DataFrame, fold: int) -> DataFrame:
+        return table.filter(F.col(WITHOUT) == fold) if scoped else table
+
+    shared = {}  # the sample that trees are fitted on, by fold where its columns differ by fold
+    for fold in sorted({f if scoped else 0 for _, model, f in missing if model != "LogisticRegression_L1"}):
+        shared[fold] = spark.sparkContext.broadcast(forests.draw_sample(within(rows, fold), union, fit_rows, SEED))
+
+    def run(option: str, name: str, fold: int) -> None:
+        held_out, columns = F.col("fold") == fold, options[option]
+        vector_rows = within(vectors[option], fold)
+        test = vector_rows.filter(held_out)
+        if name == "LogisticRegression_L1":
+            train, test = standardize_vectors(vector_rows.filter(~held_out), test)
+            train = train.persist()
+            model = fit_lr_l1(train, profile)
+            train.unpersist()
+        else:
+            model = _fit_trees(name, spark, shared[fold if scoped else 0], columns, profile, fold)
+        key = [F.lit(option).alias("option"), F.lit(name).alias("model"), F.lit(fold).alias("fold")]
+        found = spark.createDataFrame(list(zip(columns, importance(model))), "feature string, imp double").coalesce(1)
+        preds = score(model, test).select(*key, "stay_id", F.col("label").cast("int").alias("label"), "prob")
+        book.commit(entries[option, name, fold], {"predictions": preds, "importances": found.select(*key, "feature", "imp")})
+
+    with ThreadPoolExecutor(parallel or spark.sparkContext.defaultParallelism) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(run), *key) for key in missing]
+        try:
+            for job in jobs:
+                job.result()
+        except BaseException:
+            for job in jobs:
+                job.cancel()  # what has not begun stays for the next call
+            raise
+    return (
+        book.read(list(entries.values()), "predictions", PREDICTIONS),
+        book.read(list(entries.values()), "importances", IMPORTANCES),
+    )
 
 
 def external_validate(
@@ -152,12 +237,17 @@ def external_validate(
     external_columns: Sequence[str] | None = None,
     model: str = "RandomForest",
     profile: Profile = Profile(),
-) -> tuple[DataFrame, Model]:
-    """Fit on the full internal set, score the external one; names must agree in order."""
+    fit_rows: int = forests.FIT_ROWS,
+):
+    """Fit on the internal set, score the external one; names must agree in order. Predictions and the model."""
     check_schema(columns, external_columns if external_columns is not None else columns)
+    outside = assemble(external, columns).select("stay_id", "label", "features")
+    if model != "LogisticRegression_L1":
+        trained = fit_trees(model, train, columns, profile, fit_rows)
+        return score(trained, outside), trained
     rows = materialise(assemble(train, columns).select("stay_id", "label", "features"), "train")
-    fitted, scored = standardize_vectors(rows, assemble(external, columns).select("stay_id", "label", "features"))
-    trained = fit(model, fitted, profile)
+    fitted, scored = standardize_vectors(rows, outside)
+    trained = fit_lr_l1(fitted, profile)
     return score(trained, scored), trained
 
 

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from strataframe.plans.storage import materialise
+
 HASH_DIGITS = 4  # 65,536 slices of an md5 order
 SLICE_ROWS = 50_000  # rows of a stored value table that one slice should hold
 MAX_CUTS = 8_191  # slice edges of a numeric order, which grow with the table up to here
@@ -100,6 +102,25 @@ def hashed_head(
     )
 
 
+def range_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:
+    """1-based rank of each row within ``by`` along ``order``, which may hold text. Stored.
+
+    One range sort of the whole table by (by, order), whose slice edges Spark takes from a sample; counts per slice and
+    group become offsets. No group is ordered in one task, and ``order`` must tell rows apart, or equal ones are
+    ranked in any order. NULL groups are groups of their own.
+    """
+    keys = [F.col("_by"), *order]
+    sliced = df.withColumn("_by", group_key(by)).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numbered = sliced.withColumn("_row", F.monotonically_increasing_id()).withColumn("_slice", F.spark_partition_id())
+    stored = materialise(numbered, "ranked")
+    sizes = stored.groupBy("_by", "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    earlier = W.partitionBy("_by").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    # a row per group and slice: as many as there are groups and slices together
+    starts = sizes.select("_by", "_slice", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    at = F.col("_start") + F.col("_row") - F.col("_first") + 1
+    return stored.join(starts, ["_by", "_slice"]).withColumn(rank, at).drop("_by", "_slice", "_row", "_first", "_start")
+
+
 def slice_edges(stored: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> list[float]:
     """Ascending slice edges: quantiles of the order values over all groups, one for every ``slice_rows`` rows.
 

@@ -77,6 +77,12 @@ def attach_groups(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], sp
     return salted.join(copies, ["_by", "_salt"]).drop("_by", "_salt")
 
 
+def join_groups(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join of two tables that describe groups; a NULL key is a group like any other and meets its like."""
+    left, right = a.withColumn("_by", F.struct(*keys)), b.withColumn("_by", F.struct(*keys)).drop(*keys)
+    return left.join(right, "_by", how).drop("_by")
+
+
 def _all_present(keys: Sequence[str]) -> Column:
     present = F.lit(True)
     for key in keys:

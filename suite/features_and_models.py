@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from suite.views import BASE_SPEC, NAME_RULES, VISIT_SPEC, ctes, stored_cohort,
 COHORT = internal_sql(BASE_SPEC)
 RULES = {n.replace(" ", "_"): p for n, p in NAME_RULES.items()}
 SEVEN = features.CONTINUOUS
-PROFILE = models.Profile()  # the study's sizes, also where fits take hours
+PROFILE = models.Profile()  # the study's sizes
 
 # --- F: features ----------------------------------------------------------------------------------
 
@@ -118,7 +119,7 @@ def f05(spark, sf):
 @query("f06_explained_variance")
 def f06(spark, sf):
     vectors = view(spark, sf, "embeddings")
-    return rounded(embed.explained_variance(vectors, embed.pca_fit(vectors, "embedding", 10)))
+    return rounded(embed.explained_variance(vectors, embed.pca_fit(vectors, "embedding", WIDTH)))
 
 
 WIDTH = 64  # of the embeddings table
@@ -139,22 +140,35 @@ def f05_norms(spark, sf):
 
 @query(
     "f05_pca_moments",
-    "select i::integer as component, 0.0::double as mean, 0.0::double as covariance, true as falling from range(10) t(i)",
+    f"select i::integer as component, 0.0::double as mean, 0.0::double as covariance, true as falling from range({WIDTH}) t(i)",
 )
 def f05_moments(spark, sf):
     """Scores are centred and uncorrelated, and each component varies no more than the one before it."""
-    scores = embed.pca_fit_transform(view(spark, sf, "embeddings"), "embedding", 10)
-    names = [f"cc_pca_{i}" for i in range(10)]
+    scores = embed.pca_fit_transform(view(spark, sf, "embeddings"), "embedding", WIDTH)
+    listed = F.array(*[f"cc_pca_{i}" for i in range(WIDTH)])
+    one = scores.select("vec_id", listed.alias("s")).select("s", F.posexplode("s").alias("component", "x"))
+    two = one.select("component", "x", F.posexplode("s").alias("other", "y"))
+    pairs = two.groupBy("component", "other").agg(F.covar_samp("x", "y").alias("c"), F.avg("x").alias("m"))
+    same, before = F.col("other") == F.col("component"), F.col("other") == F.col("component") - 1
+    per = pairs.groupBy("component").agg(
+        F.abs(F.round(F.max("m"), 6)).alias("mean"),
+        F.round(F.max(F.when(~same, F.abs("c"))), 6).alias("covariance"),
+        F.max(F.when(same, F.col("c"))).alias("v"),
+    )
+    earlier = per.select((F.col("component") + 1).alias("component"), F.col("v").alias("before"))
+    falling = F.coalesce(F.col("v") <= F.col("before") + 1e-9, F.lit(True))
+    return per.join(earlier, "component", "left").select("component", "mean", "covariance", falling.alias("falling"))
 
-    def check(i: int):
-        others = [F.abs(F.covar_samp(names[i], n)) for n in names if n != names[i]]
-        falling = F.lit(True) if i == 0 else F.var_samp(names[i]) <= F.var_samp(names[i - 1]) + 1e-9
-        return F.struct(
-            F.lit(i).alias("component"), F.abs(F.round(F.avg(names[i]), 6)).alias("mean"),
-            F.round(F.greatest(*others), 6).alias("covariance"), falling.alias("falling"),
-        )
 
-    return scores.agg(F.explode(F.array(*map(check, range(10)))).alias("c")).select("c.*")
+@query(
+    "f05_eigen_check",
+    f"select i::integer as component, 0.0::double as residual, true as positive from range({WIDTH}) t(i)",
+)
+def f05_eigen(spark, sf):
+    """Every loading is an eigenvector of the covariance to its explained variance, its largest cell being positive."""
+    vectors = view(spark, sf, "embeddings")
+    found = embed.eigen_check(vectors, "embedding", embed.pca_fit(vectors, "embedding", WIDTH))
+    return found.select("component", r6("residual").alias("residual"), (F.col("peak") > 0).alias("positive"))
 
 
 @query(
@@ -171,6 +185,84 @@ def f06_total(spark, sf):
     return rounded(variances.withColumn("ratios", ratios))
 
 
+# --- F2, F3, F5 without the held-out fold ---
+
+_FOLDED = _MEASURED + ", f as (select *, cast(stay_id % 5 as integer) as fold from m), w as (select unnest(range(5))::integer as without)"
+
+
+@query(
+    "f02_fold_medians",
+    _FOLDED + " union all ".join(f" select without, '{c}' as variable, {R(f'quantile_cont({c}, 0.5)')} as median from w join f on fold <> without group by without" for c in SEVEN),
+)
+def f02_folds(spark, sf):
+    """Medians of every training set of five folds, from one count of the values."""
+    rows = _measured(spark, sf).withColumn("fold", F.col("stay_id") % 5)
+    return rounded(features.fold_medians(rows, SEVEN, "fold", 5))
+
+
+@query(
+    "f03_fold_modes",
+    ctes("fx_stays")
+    + ", f as (select gender, cast(stay_id % 5 as integer) as fold from fx_stays), w as (select unnest(range(5))::integer as without),"
+    + " c as (select without, gender as mode, count(*) as n from w join f on fold <> without where gender is not null group by all)"
+    + " select without, 'gender' as variable, mode from c qualify row_number() over (partition by without order by n desc, mode) = 1",
+)
+def f03_folds(spark, sf):
+    """The most frequent gender of every training set of five folds."""
+    rows = view(spark, sf, "fx_stays").select("gender", (F.col("stay_id") % 5).alias("fold"))
+    return features.fold_modes(rows, ["gender"], "fold", 5)
+
+
+@query(
+    "f02_fold_impute",
+    _FOLDED
+    + f", s as (select without, {', '.join(f'quantile_cont({c}, 0.5) as {c}' for c in SEVEN)} from w join f on fold <> without group by without)"
+    + f" select stay_id, fold, s.without, {', '.join(f'{R(f'coalesce(f.{c}, s.{c})')} as {c}' for c in SEVEN)} from f, s",
+)
+def f02_fold_impute(spark, sf):
+    """Every row once for each training set, its gaps filled with that set's medians."""
+    rows = materialise(_measured(spark, sf).withColumn("fold", (F.col("stay_id") % 5).cast("int")), "measured")
+    medians = features.fold_medians(rows, SEVEN, "fold", 5)
+    return rounded(features.fill_by_fold(features.by_fold(rows, 5), medians, "median", SEVEN))
+
+
+@query(
+    "f05_fold_pca",
+    f"with {_PLACES}, w as (select unnest(range(5))::integer as without),"
+    + " means as (select without, j, avg(x) as m from w join places on vec_id % 5 <> without group by all)"
+    + f" select vec_id, without, {R('sum((x - m) * (x - m))')} as norm from places join means using (j) group by all",
+)
+def f05_folds(spark, sf):
+    """Scores of all rows by the components of every training set: a rotation about that set's mean."""
+    rows = view(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 5).cast("int").alias("fold"))
+    model = embed.fold_pca(rows, "embedding", "fold", 5, WIDTH)
+    scores = model.transform(features.by_fold(rows, 5), "embedding", features.WITHOUT)
+    squares = sum((F.col(f"cc_pca_{i}") * F.col(f"cc_pca_{i}") for i in range(WIDTH)), F.lit(0.0))
+    return scores.select("vec_id", features.WITHOUT, r6(squares).alias("norm"))
+
+
+@query(
+    "f05_fold_moments",
+    f"select w::integer as without, i::integer as component, 0.0::double as mean, 0.0::double as beyond, true as falling from range(5) t(w), range({WIDTH}) u(i)",
+)
+def f05_fold_moments(spark, sf):
+    """On the training rows alone scores are centred, their variances are the components' shares and they fall."""
+    rows = view(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 5).cast("int").alias("fold"))
+    model = embed.fold_pca(rows, "embedding", "fold", 5, WIDTH)
+    scores = model.transform(features.by_fold(rows, 5).filter(F.col("fold") != F.col(features.WITHOUT)), "embedding", features.WITHOUT)
+    long = scores.select(features.WITHOUT, F.posexplode(F.array(*[f"cc_pca_{i}" for i in range(WIDTH)])).alias("component", "x"))
+    per = long.groupBy(features.WITHOUT, "component").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"))
+    total = per.groupBy(features.WITHOUT).agg(F.sum("v").alias("all"))
+    shares = [(w, i, float(r)) for w in range(5) for i, r in enumerate(model.ratios[w])]
+    known = spark.createDataFrame(shares, "without int, component int, share double")
+    before = per.select(features.WITHOUT, (F.col("component") + 1).alias("component"), F.col("v").alias("before"))
+    met = per.join(total, features.WITHOUT).join(known, [features.WITHOUT, "component"]).join(before, [features.WITHOUT, "component"], "left")
+    return met.select(
+        features.WITHOUT, "component", F.abs(F.round("m", 6)).alias("mean"), F.abs(F.round(F.col("v") / F.col("all") - F.col("share"), 6)).alias("beyond"),
+        F.coalesce(F.col("v") <= F.col("before") + 1e-9, F.lit(True)).alias("falling"),
+    )
+
+
 _ALL_RULES = {**COMPLAINT_CATEGORIES, **RULES}
 
 
@@ -380,32 +472,37 @@ def _vectors(spark, sf):
 COLUMNS = [f"x{i}" for i in range(64)]
 
 
-_fitted: dict[tuple, object] = {}
+_fitted: dict[tuple, tuple] = {}
 
 
 def _fit_and_score(spark, sf, name):
-    """Fitted on four folds, scored on the fifth; stored once per session and folder."""
+    """Fitted on four folds, scored on the fifth: stored scores, the model and what it was fitted on, once per session and folder."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _fitted:
-        rows = materialise(features.assemble(_vectors(spark, sf), COLUMNS), "assembled")
-        train, test = features.standardize_vectors(rows.filter("fold <> 0"), rows.filter("fold = 0"))
-        _fitted[key] = materialise(models.score(models.fit(name, train, PROFILE, full=rows), test), "scored")
+        rows = _vectors(spark, sf)
+        train, test = rows.filter("fold <> 0"), features.assemble(rows.filter("fold = 0"), COLUMNS)
+        if name == "LogisticRegression_L1":
+            train, test = features.standardize_vectors(features.assemble(train, COLUMNS), test)
+            model = models.fit_lr_l1(train, PROFILE)
+        else:
+            model = models.fit_trees(name, train.drop("fold"), COLUMNS, PROFILE)
+        _fitted[key] = materialise(models.score(model, test), "scored"), model, train
     return _fitted[key]
 
 
 @query("g04_fit_lr_l1")
 def g04(spark, sf):
-    return rounded(_fit_and_score(spark, sf, "LogisticRegression_L1"))
+    return rounded(_fit_and_score(spark, sf, "LogisticRegression_L1")[0])
 
 
 @query("g05_fit_rf")
 def g05(spark, sf):
-    return rounded(_fit_and_score(spark, sf, "RandomForest"))
+    return rounded(_fit_and_score(spark, sf, "RandomForest")[0])
 
 
 @query("g06_fit_gbt")
 def g06(spark, sf):
-    return rounded(_fit_and_score(spark, sf, "GradientBoostedTrees"))
+    return rounded(_fit_and_score(spark, sf, "GradientBoostedTrees")[0])
 
 
 _EMBEDDED_FOLDS = _FOLDS.replace("stay_id", "vec_id").replace("partition by label", "partition by label = 0")
@@ -419,7 +516,7 @@ _EMBEDDED_FOLDS = _FOLDS.replace("stay_id", "vec_id").replace("partition by labe
 )
 def g04_checks(spark, sf):
     """Each of the three fits scores the whole held-out fold, with probabilities."""
-    scored = [_fit_and_score(spark, sf, m).withColumn("model", F.lit(m)) for m in models.MODELS]
+    scored = [_fit_and_score(spark, sf, m)[0].withColumn("model", F.lit(m)) for m in models.MODELS]
     rows = reduce(lambda a, b: a.unionByName(b), scored)
     return rows.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("cases"), F.sum("stay_id").alias("ids"),
@@ -427,6 +524,76 @@ def g04_checks(spark, sf):
     )
 
 
+@query(
+    "g04_optimality",
+    f"select unnest([{quoted([*COLUMNS, '(intercept)'])}]) as feature, 0.0::double as violation",
+)
+def g04_optimality(spark, sf):
+    """No coefficient of the L1 fit can be bettered: 0 is a subgradient of the objective, to four places."""
+    _, model, train = _fit_and_score(spark, sf, "LogisticRegression_L1")
+    found = models.l1_violation(train, model, COLUMNS, PROFILE)
+    return found.select("feature", F.round("violation", 4).alias("violation"))
+
+
+# cuts of the embeddings in steps of 1/64: few values a column, exact in binary
+_STEPS = (
+    "with v as (select label = 0 as y, unnest(range(64)) as j, floor(unnest(embedding)::double * 64) / 64 as x from embeddings),"
+    " n as (select count(*)::double as n, (count(*) filter (label = 0))::double as pos from embeddings),"
+)
+
+
+def _split_sql(a: str, b: str, shrink: str, least: str, scale: str) -> str:
+    """The best cut of each column, from sums per value and running sums."""
+    part = lambda a, b: f"(({a}) * ({a}) / (({b}) + {shrink}))"
+    return (
+        f"{_STEPS} s as (select j, x, sum({a}) as a, sum({b}) as b from v, n group by j, x),"
+        " r as (select j, x, lead(x) over (partition by j order by x) as next, sum(a) over (partition by j order by x) as la,"
+        " sum(b) over (partition by j order by x) as lb, sum(a) over (partition by j) as ta, sum(b) over (partition by j) as tb from s),"
+        f" g as (select concat('x', j) as feature, j, (x + next) / 2 as threshold, {scale} * ({part('la', 'lb')} + {part('ta - la', 'tb - lb')} - {part('ta', 'tb')}) as gain"
+        f" from r where next is not null and lb >= {least} and tb - lb >= {least}),"
+        " best as (select feature, j, threshold, gain from g qualify row_number() over (partition by j order by gain desc, threshold) = 1)"
+    )
+
+
+_GINI = _split_sql("case when y then n / (2 * pos) else 0 end", "n / (2 * case when y then pos else n - pos end)", "0", "0", "2")
+_SECOND = _split_sql(
+    "case when y then (n - pos) / pos else 1 end * (0.5 - y::integer)", "case when y then (n - pos) / pos else 1 end * 0.25", "1", "1", "1"
+)
+_ROOT = f" select feature, {R('threshold')} as threshold, {R('gain')} as gain, 1.0::double as imp from best order by gain desc, j limit 1"
+
+
+def _steps(spark, sf):
+    return _vectors(spark, sf).select("stay_id", "label", *[(F.floor(F.col(c) * 64) / 64).alias(c) for c in COLUMNS])
+
+
+@query("g09_split_gains", _GINI + f" select feature, {R('threshold')} as threshold, {R('gain')} as gain from best")
+def g09_gains(spark, sf):
+    """The best cut of every column by the decrease of the weighted Gini impurity, from one aggregate."""
+    rows = splits.balanced_weights(_steps(spark, sf), "label")
+    found = models.split_gains(rows, COLUMNS, F.col("weight") * F.col("label"), F.col("weight"))
+    return rounded(found.withColumn("gain", 2.0 * F.col("gain")))
+
+
+def _root(spark, model):
+    """The first split of a model's first tree, with the split column's importance."""
+    at = int(model.nodes.feature[0])
+    row = (COLUMNS[at], float(model.nodes.threshold[0]), float(model.nodes.gain[0]), models.importance(model)[at])
+    return rounded(spark.createDataFrame([row], "feature string, threshold double, gain double, imp double"))
+
+
+@query("g05_root_split", _GINI + _ROOT)
+def g05_root(spark, sf):
+    """A forest of one stump on all rows and columns splits where the Gini impurity falls most."""
+    stump = replace(PROFILE, trees=1, tree_depth=1, bootstrap=False, split_columns=len(COLUMNS))
+    return _root(spark, models.fit_trees("RandomForest", _steps(spark, sf), COLUMNS, stump))
+
+
+@query("g06_root_split", _SECOND + _ROOT)
+def g06_root(spark, sf):
+    """The first boosted stump splits where the second-order gain of the weighted loss is largest."""
+    return _root(spark, models.fit_trees("GradientBoostedTrees", _steps(spark, sf), COLUMNS, replace(PROFILE, rounds=1, round_depth=1)))
+
+
 _validated: dict[tuple, tuple] = {}
 
 
@@ -468,14 +635,14 @@ def g07_coverage(spark, sf):
 _externals: dict[tuple, tuple] = {}
 
 
-def _external(spark, sf):
-    """The forest fitted on the internal cohort and its scores of the external one, stored once."""
-    key = (spark.sparkContext.applicationId, sf)
+def _external(spark, sf, name="RandomForest"):
+    """A model fitted on the internal cohort and its scores of the external one, stored once."""
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _externals:
         inside, outside = _features(spark, sf), _features(spark, sf, "external")
         option = "Option1_Categorical"
         preds, model = models.external_validate(
-            inside.rows, outside.rows, inside.options[option], outside.options[option], profile=PROFILE
+            inside.rows, outside.rows, inside.options[option], outside.options[option], name, PROFILE
         )
         _externals[key] = materialise(preds, "external"), model, inside.options[option]
     return _externals[key]
@@ -500,9 +667,24 @@ def g08_coverage(spark, sf):
 
 @query("g09_importance")
 def g09(spark, sf):
-    _, model, names = _external(spark, sf)
-    rows = list(zip(names, models.importance(model)))
-    return rounded(spark.createDataFrame(rows, "feature string, imp double"))
+    """Importances of the model that scores the external cohort, for every kind of model."""
+    rows = [(m, *pair) for m in models.MODELS for _, model, names in [_external(spark, sf, m)] for pair in zip(names, models.importance(model))]
+    return rounded(spark.createDataFrame(rows, "model string, feature string, imp double"))
+
+
+@query(
+    "g09_importance_totals",
+    f"select m as model, {len(_OPTION_CELLS['Option1_Categorical'])}::bigint as features,"
+    " case when m = 'LogisticRegression_L1' then null else 1.0::double end as total, true as valid"
+    f" from (select unnest([{quoted(models.MODELS)}]) as m)",
+)
+def g09_totals(spark, sf):
+    """A value for every feature, none negative; those of trees add up to 1."""
+    rows = [(m, v) for m in models.MODELS for v in models.importance(_external(spark, sf, m)[1])]
+    trees = F.col("model") != "LogisticRegression_L1"
+    return spark.createDataFrame(rows, "model string, imp double").groupBy("model").agg(
+        F.count(F.lit(1)).alias("features"), F.when(F.max(trees), r6(F.sum("imp"))).alias("total"), F.bool_and(F.col("imp") >= 0).alias("valid")
+    )
 
 
 @query("g10_cv_importance")

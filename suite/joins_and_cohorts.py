@@ -10,7 +10,7 @@ from strataframe.functions.codes import code_in, code_prefix_any
 from strataframe.functions.text import has_keyword
 from strataframe.operators import joins
 from strataframe.operators.cohort import build_cohort, draw_controls, map_visits
-from strataframe.operators.filters import rule_report, study_rules
+from strataframe.operators.filters import rule_report, store_validated, study_rules
 from strataframe.operators.sampling import (
     assign_stratum,
     fill_shortfall,
@@ -322,4 +322,13 @@ def e10(spark, sf):
     return rule_report(internal(spark, sf).drawn, study_rules())
 
 
+@query(
+    "e10_stored_report",
+    _rule_report_sql() + " union all select 'repeated_keys', count(*) - count(distinct stay_id), 0 from cohort",
+)
+def e10_stored(spark, sf):
+    """The same counts, observed while the validated rows are written, and whether a stay occurs more than once."""
+    return store_validated(internal(spark, sf).drawn, study_rules(), "stay_id")[1]
+
+
 __all__ = ["R", "stored_cohort"]

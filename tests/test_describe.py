@@ -1,5 +1,7 @@
 """Report formatting, empty groups and distribution edge cases."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +88,37 @@ def test_shares_and_order(spark):
     got = {(r["g"], r["l"]): r["pct"] for r in describe.group_share(df, "g", "l").collect()}
     assert got == {("a", "x"): 50.0, ("a", "y"): 50.0, ("b", "y"): 100.0}
     assert [r["l"] for r in describe.level_order(df, "l").orderBy("place").collect()] == ["y", "x"]
+
+
+def test_rows_without_a_group_are_a_group_of_their_own(spark):
+    """Histogram, densities, boxes, violins, shares, moments and correlations, each against the same rows under a name."""
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 3 == 0 else "b", float(v), float(v * (i % 5)), "xy"[i % 2]) for i, v in enumerate(rng.normal(size=90).round(2))]
+    schema = "g string, v double, w double, level string"
+    gaps, named = spark.createDataFrame(rows, schema), spark.createDataFrame([(r[0] or "a", *r[1:]) for r in rows], schema)
+    made = {
+        "histogram": lambda d: distributions.histogram(d, "v", "g", 7),
+        "kde": lambda d: distributions.kde(d, ["v", "w"], "g", 20),
+        "box": lambda d: distributions.box_stats(d, ["v", "w"], "g"),
+        "violin": lambda d: distributions.violin_stats(d, ["v"], "g", 20),
+        "share": lambda d: describe.group_share(d, "g", "level").withColumnRenamed("g", "group"),
+        "moments": lambda d: describe.cont_stats(d, ["v", "w"], "g"),
+        "correlation": lambda d: describe.corr_matrix(d, ["v", "w"], "g"),
+    }
+    for name, make in made.items():
+        keep = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.withColumn("group", F.coalesce("group", F.lit("a"))).collect())
+        got = keep(make(gaps))
+        assert got == keep(make(named)) and len(got) > 0, name
+
+
+def test_levels_are_ranked_without_a_window_over_them_all(spark):
+    words = [(w,) for i, w in enumerate(["é", "a", "B", "b", "aa", "", "z"] * 3 + ["a", "z", "z", None]) for _ in range(1 + i % 2)]
+    counts = Counter(w for (w,) in words if w is not None)
+    want = [(w, n, i + 1) for i, (w, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0].encode())))]
+    got = describe.level_order(spark.createDataFrame(words, "w string"), "w")
+    assert sorted(map(tuple, got.select("w", "n", "place").collect()), key=lambda r: r[2]) == want
+    table = describe.table_one(spark.createDataFrame([(i % 2, "m" if i % 3 else None, "r%d" % (i % 40), float(i)) for i in range(200)], "ie_label int, gender string, race string, age double"), categorical=["gender", "race"], continuous=["age"])
+    places = [r.pos for r in table.orderBy("pos").collect()]
+    assert len(places) == len(set(places))
+    for plan in (got, table):
+        assert "Window" not in plan._jdf.queryExecution().executedPlan().toString().replace("WindowGroupLimit", "") or "partitionBy" not in str(plan)

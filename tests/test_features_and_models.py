@@ -5,10 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import features, models
+from strataframe.functions import trees
+from strataframe.operators import features, forests, models
 from strataframe.operators.embed import embed_text, hashing_encoder, pca_fit
 from strataframe.operators.evaluate import auroc
 from strataframe.operators.knn import knn_impute
+from strataframe.plans.ledger import fingerprint
 from suite import ALL_QUERIES, features_and_models
 
 
@@ -141,7 +143,7 @@ def test_l1_logistic_regression_solves_the_weighted_objective(separable):
 
 
 def test_cross_validation_covers_every_row_once(spark, separable):
-    small = models.Profile(trees=5, tree_depth=4, rounds=3, round_depth=3, iterations=50, bins=32)
+    small = models.Profile(trees=25, tree_depth=4, rounds=10, round_depth=3, iterations=50, bins=32)
     options = {"all": ["a", "b", "c", "d"], "noise": ["b", "d"]}
     preds, imps = models.cross_validate(
         separable.withColumn("fold", F.col("fold") % 2), options, folds=2, profile=small
@@ -155,6 +157,125 @@ def test_cross_validation_covers_every_row_once(spark, separable):
     assert {r["feature"] for r in top} == {"a", "c"}
 
 
+SMALL = models.Profile(trees=5, tree_depth=4, rounds=3, round_depth=3, iterations=50, bins=32)
+
+
+def test_a_killed_cross_validation_goes_on_where_it_stopped(spark, separable, tmp_path, monkeypatch):
+    """Only fits that were not committed are made again, also those that left uncommitted tables behind."""
+    options = {"all": ["a", "b", "c", "d"]}
+    fits = []
+    real = models._fit_trees
+
+    def fit(name, spark_, shared, columns, profile, without=None):
+        fits.append((name, without))
+        if len(fits) == 3:
+            raise RuntimeError("executor lost")
+        return real(name, spark_, shared, columns, profile, without)
+
+    monkeypatch.setattr(models, "_fit_trees", fit)
+    thirds = separable.withColumn("fold", F.col("fold") % 3)
+    call = lambda df=thirds: models.cross_validate(df, options, folds=3, profile=SMALL, parallel=1, ledger=str(tmp_path))
+    with pytest.raises(RuntimeError, match="executor lost"):
+        call()
+    committed = {(p.parts[-4], int(p.parts[-3][-1])) for p in tmp_path.glob("*/*/*/*/importances/_SUCCESS")}
+    begun = len(fits)  # the fit after the lost one may have begun
+    assert committed == set(fits) - {fits[2]} and begun <= 4
+    orphan = next(tmp_path.glob("*/*")) / fits[2][0] / f"fold-{fits[2][1]}" / "predictions"  # of a fit that was not committed
+    spark.createDataFrame([("all", fits[2][0], fits[2][1], -1, 0, 0.5)], models.PREDICTIONS).write.parquet(str(orphan))
+    preds, imps = call()
+    assert not committed & set(fits[begun:]) and len(set(fits)) == 6 == len(fits) - 1
+    assert preds.count() == 3 * 400 and imps.count() == 9 * 4 and preds.filter("stay_id < 0").isEmpty()
+    again = call()
+    assert len(fits) == 7 and sorted(again[0].collect()) == sorted(preds.collect())
+    assert len(list(tmp_path.glob("*"))) == 1
+    del fits[2:]
+    with pytest.raises(RuntimeError):
+        call(thirds.withColumn("a", F.col("a") + 1))  # other data: nothing of the other entries counts
+    assert len(fits) > 2
+
+
+def test_fits_do_not_depend_on_partitions_or_order(spark, separable, tmp_path):
+    found = []
+    for i, df in enumerate((separable.repartition(7), separable.orderBy(F.desc("stay_id")).coalesce(1))):
+        preds, imps = models.cross_validate(df, {"all": ["a", "b", "c", "d"]}, models.MODELS[1:], profile=SMALL, ledger=f"{tmp_path}/{i}")
+        found.append((sorted(preds.collect()), sorted(imps.collect())))
+    assert found[0] == found[1]
+
+
+def test_fingerprints(spark):
+    df = spark.createDataFrame([(1, "a", 0.1), (2, None, None), (2, None, None)], "i int, s string, x double")
+    base = fingerprint(df)
+    assert base == fingerprint(df.repartition(3)) == fingerprint(df.withColumn("x", F.col("x") + 1e-12))
+    others = [df.distinct(), df.withColumn("x", F.col("x") + 1e-3), df.withColumnRenamed("s", "t"), df.withColumn("i", F.col("i").cast("long")), df.limit(0)]
+    assert len({base, *map(fingerprint, others)}) == 6
+
+
+def plain_tree(x, y, w):
+    """The best first split by trying every value of every column: (column, threshold, decrease of the Gini impurity)."""
+    def gini(rows):
+        share = (w[rows] * y[rows]).sum() / w[rows].sum()
+        return 2 * share * (1 - share) * w[rows].sum()
+
+    best = None
+    for j in range(x.shape[1]):
+        values = np.unique(x[:, j])
+        for a, b in zip(values, values[1:]):
+            left = x[:, j] <= (a + b) / 2
+            gain = gini(np.ones(len(y), bool)) - gini(left) - gini(~left)
+            if best is None or gain > best[2] + 1e-9:
+                best = (j, (a + b) / 2, gain)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_first_split_equals_trying_all(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    y, w = (x[:, seed % 3] + rng.normal(size=60) > 0).astype(float), rng.random(60) + 0.5
+    nodes = trees.grow_bagged(trees.cut_bins(x, 256), y, w, [0], 1, depth=1, bootstrap=False, tries=3)
+    column, threshold, gain = plain_tree(x, y, w)
+    assert nodes.feature[0] == column and nodes.threshold[0] == pytest.approx(threshold) and nodes.gain[0] == pytest.approx(gain)
+
+
+def test_trees_grow_until_pure_and_ensembles_tell_classes_apart():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    y = ((x[:, 1] > 0) ^ (x[:, 3] > 0.5)).astype(float)
+    x[:, 4] = 1.0  # constant: never split
+    binned = trees.cut_bins(x, 64)
+    one = trees.grow_bagged(binned, y, np.ones(300), [7], 1, bootstrap=False)
+    assert set(np.round(one.value[one.feature < 0], 9)) == {0.0, 1.0} and 4 not in one.feature
+    assert np.array_equal(trees.leaf_values(one, x), y)
+    held, truth = rng.normal(size=(400, 5)), None
+    truth = (held[:, 1] > 0) ^ (held[:, 3] > 0.5)
+    forest = trees.leaf_values(trees.grow_bagged(binned, y, np.ones(300), list(range(40)), 1), held) / 40
+    boosted = trees.leaf_values(trees.grow_boosted(binned, y, np.ones(300), 60, 3, 0.1), held)
+    assert np.mean((forest > 0.5) == truth) > 0.85 and np.mean((boosted > 0) == truth) > 0.9
+    parts = [trees.grow_bagged(binned, y, np.ones(300), t, 1) for t in ([2, 3], [0, 1])]
+    assert np.allclose(trees.leaf_values(trees.joined(parts), held), sum(trees.leaf_values(p, held) for p in parts))
+
+
+def test_first_boosted_round_by_hand():
+    x = np.array([[0.0], [0.0], [1.0], [1.0], [1.0], [1.0]] * 4)
+    y = np.array([0, 0, 1, 1, 1, 0] * 4, float)
+    nodes = trees.grow_boosted(trees.cut_bins(x, 256), y, np.ones(24), 1, 6, 0.05, least=0.5)
+    g, h = (0.5 - y), np.full(24, 0.25)
+    left = x[:, 0] == 0
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    assert nodes.gain[0] == pytest.approx(part(left) + part(~left) - part(left | ~left))
+    assert nodes.value[nodes.left[0]] == pytest.approx(-0.05 * g[left].sum() / (h[left].sum() + 1))
+
+
+def test_bounded_samples_stand_for_all_rows(spark, separable):
+    """Weights of a class add up to what the whole class's would, and the drawn rows are the same each time."""
+    sample = forests.draw_sample(separable.repartition(3), ["a", "b"], fit_rows=50)
+    again = forests.draw_sample(separable.repartition(5), ["a", "b"], fit_rows=50)
+    assert np.array_equal(sample.x, again.x) and sorted(np.bincount(sample.y.astype(int))) == [50, 50]
+    x, y, whole = sample.training(["b"], without=2)
+    labels = separable.filter("fold <> 2").groupBy("label").count().collect()
+    assert whole == {r["label"]: r["count"] for r in labels} and x.shape == (len(y), 1)
+
+
 def test_auroc_properties(separable):
     scores = separable.withColumn("prob", F.round(F.col("a") - F.col("c"), 1))
     area = auroc(scores).first()[0]
@@ -185,5 +306,5 @@ def test_queries_keep_every_component(spark):
 
 def test_queries_fit_the_studys_models():
     used = features_and_models.PROFILE
-    assert (used.trees, used.tree_depth, used.rounds, used.round_depth) == (500, 30, 500, 6)
+    assert (used.trees, used.tree_depth, used.rounds, used.round_depth) == (500, None, 500, 6)
     assert (used.iterations, used.bins, used.rate, used.inverse_penalty) == (5_000, 256, 0.05, 1.0)

@@ -178,3 +178,22 @@ def test_group_rows_are_attached_over_salts(spark):
     assert sorted((r["g"] or "", r["v"], r["k"]) for r in got.collect()) == sorted(
         [("a", i, 1) for i in range(100)] + [("", i, 2) for i in range(100)]
     )
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_range_ranks_equal_sorting(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(None if g == 3 else int(g), f"{w:03d}é", i) for i, (g, w) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 300, 400)))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "g int, w string, i long").repartition(parts)
+        got = {r["i"]: r["at"] for r in ordering.range_rank(df, ["g"], [F.col("w").desc(), F.col("i")], "at").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for group in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == group), key=lambda r: r[2])
+        mine.sort(key=lambda r: r[1], reverse=True)
+        want |= {r[2]: k for k, r in enumerate(mine, 1)}
+    assert got == want
+    assert ordering.range_rank(df.limit(0), ["g"], [F.col("w")], "at").count() == 0

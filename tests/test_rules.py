@@ -10,7 +10,7 @@ from strataframe.functions.codes import code_in, code_in_any, code_prefix_any, n
 from strataframe.functions.labels import RACE_EXTERNAL, RACE_INTERNAL, RACE_REPORT, map_values, normalize_label
 from strataframe.functions.text import COMPLAINT_CATEGORIES, clean_text, has_keyword, keyword_categories
 from strataframe.operators.cohort import CASE_CODES, LOOKALIKE_PREFIXES, RISK_PREFIXES
-from strataframe.operators.filters import rule_report, study_rules, validate
+from strataframe.operators.filters import rule_report, store_validated, study_rules, validate
 from strataframe.sources import tables
 from strataframe.sources.tables import nan_to_null, null_tokens
 
@@ -88,6 +88,20 @@ def test_validation_rules(spark):
     report = {r["rule"]: (r["failed"], r["dropped"]) for r in rule_report(rows, study_rules()).collect()}
     assert report["gender"] == (2, 2) and report["acuity"] == (2, 1) and report["stay_order"] == (2, 2)
     assert sum(d for _, d in report.values()) == 7
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    keyed = rows.withColumn("stay_id", F.lit(7)).mapInArrow(seen, f"{schema}, stay_id int")
+    stored, stored_report = store_validated(keyed.unionByName(keyed.limit(1)), study_rules(), "stay_id")
+    assert stored.count() == 2 and runs.value <= 2 * len(changes)  # each side of the union once
+    found = {r["rule"]: (r["failed"], r["dropped"]) for r in stored_report.collect()}
+    assert found.pop("repeated_keys") == (1, 0) and found == report
+    nothing, none_failed = store_validated(rows.limit(0).withColumn("stay_id", F.lit(7)), study_rules(), "stay_id")
+    assert nothing.count() == 0 and all(r["failed"] == r["dropped"] == 0 for r in none_failed.collect())
 
 
 def test_texts_survive_csv(spark, tmp_path):
