@@ -25,6 +25,7 @@ from strataframe.operators.sampling import (
     plan_quotas,
     sample_n,
 )
+from strataframe.plans.keyfilter import may_hold
 from strataframe.plans.spread import left_join
 from strataframe.plans.storage import materialise
 from strataframe.sources.tables import map_schema, project_cohort
@@ -117,12 +118,13 @@ class HospitalTables:
         return flagged.select("stay_id", _stratum("is_case", "lookalike", or_flags(F.col("risk"), F.col("keyword"))))
 
     def rows(self, spec: StudySpec, chosen: DataFrame) -> DataFrame:
-        base = materialise(self.stays.join(chosen, "stay_id"), "chosen")
-        vitals = _reduced(self.measurements, base, ["subject_id", "stay_id"])
-        people = _reduced(self.patients, base, ["subject_id"]).select(
+        # wide tables lose the rows of other stays before their only exchange, that of the joins below
+        base = materialise(may_hold(self.stays, chosen, ["stay_id"]).join(chosen, "stay_id"), "chosen")
+        vitals = may_hold(self.measurements, base, ["subject_id", "stay_id"])
+        people = may_hold(self.patients, base, ["subject_id"]).select(
             "subject_id", F.col("gender").alias("_gender"), "anchor_age"
         )
-        races = _reduced(self.admissions, base, ["hadm_id"]).select("hadm_id", F.col("race").alias("_race"))
+        races = may_hold(self.admissions, base, ["hadm_id"]).select("hadm_id", F.col("race").alias("_race"))
         wide = left_join(base, vitals, ["subject_id", "stay_id"], "stay_id", hot_from=base)
         wide = left_join(wide, people, ["subject_id"], "stay_id", hot_from=base)
         races = first_per_key(races, "hadm_id", ["_race"])
@@ -170,7 +172,7 @@ class VisitTables:
         return flagged.select("stay_id", _stratum("is_case", lookalike, moderate))
 
     def rows(self, spec: StudySpec, chosen: DataFrame) -> DataFrame:
-        return self.mapped().join(chosen, "stay_id")
+        return may_hold(self.mapped(), chosen, ["stay_id"]).join(chosen, "stay_id")
 
 
 @dataclass(frozen=True)
@@ -257,8 +259,3 @@ def _stratum(is_case: str, lookalike: Column | str, moderate: Column) -> Column:
         .otherwise(assign_stratum(or_flags(lookalike), moderate))
         .alias("stratum")
     )
-
-
-def _reduced(df: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
-    """Only the rows whose key occurs in the chosen stays, so the wide table is not shuffled whole."""
-    return df.join(base.select(*keys).distinct(), keys, "left_semi")

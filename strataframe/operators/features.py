@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import (
-    ElementwiseProduct,
-    OneHotEncoder,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-    VectorSlicer,
-)
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataframe.functions.casts import fill_features, reverse_ordinal
 from strataframe.functions.text import COMPLAINT_CATEGORIES, multi_hot
-from strataframe.plans.ordering import exact_quantiles, value_counts
+from strataframe.plans.ordering import exact_quantiles, range_rank, value_counts
+from strataframe.plans.spread import left_join
 from strataframe.plans.storage import materialise
 
 # Feature column groups in matrix order.
@@ -103,7 +99,7 @@ def fill_by_fold(rows: DataFrame, statistics: DataFrame, value: str, columns: Se
 
 def sorted_levels(df: DataFrame, c: str) -> list[str]:
     """The distinct levels in order, from one aggregate. They become columns of a plan, so they are meant to be few;
-    a domain too large for that is encoded by :func:`one_hot_vector`."""
+    a domain too large for that goes through :func:`level_table` and :func:`sparse_features`."""
     return df.agg(F.array_sort(F.collect_set(c)).alias("levels")).first()["levels"]
 
 
@@ -117,15 +113,77 @@ def one_hot_drop_first(df: DataFrame, c: str, levels: Sequence[str]) -> DataFram
     return df.withColumns(hits) if hits else df
 
 
-def one_hot_vector(df: DataFrame, c: str, out: str) -> DataFrame:
-    """The same encoding as one sparse vector, for any number of levels (two at least): places follow the sorted
-    levels, the first level and NULL are all zeros. Levels are indexed, not written into the plan."""
-    indexer = StringIndexer(inputCol=c, outputCol="_level", stringOrderType="alphabetAsc", handleInvalid="keep")
-    placed = indexer.fit(df.filter(F.col(c).isNotNull())).transform(df)
-    hot = OneHotEncoder(inputCol="_level", outputCol="_hot", dropLast=False).fit(placed)
-    levels = hot.categorySizes[0] - 1  # the place after the last level is NULL
-    keep = VectorSlicer(inputCol="_hot", outputCol=out, indices=list(range(1, levels)))
-    return keep.transform(hot.transform(placed)).drop("_level", "_hot")
+# --- wide domains: levels stay in a table, rows become sparse vectors ---------------------------------
+
+
+def level_table(df: DataFrame, c: str) -> DataFrame:
+    """``(level, pos)`` of the distinct levels in order, stored. ``pos`` counts from the second level; the first, the
+    base, has -1. Levels are ranked in slices, so neither one task nor the driver holds them all."""
+    distinct = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("level")).distinct()
+    ranked = range_rank(distinct, [], [F.col("level")], "place")
+    return materialise(ranked.select("level", (F.col("place") - 2).cast("int").alias("pos")), "levels")
+
+
+def _starts(dense: Sequence[str], wide: Mapping[str, DataFrame]) -> tuple[dict[str, int], int]:
+    """The first place of each wide column, and the width of the whole vector."""
+    starts, width = {}, len(dense)
+    for c, levels in wide.items():
+        starts[c] = width
+        width += max(levels.count() - 1, 0)
+    return starts, width
+
+
+def sparse_features(
+    df: DataFrame, dense: Sequence[str], wide: Mapping[str, DataFrame], row_id: str, keep: Sequence[str], out: str = "features"
+) -> DataFrame:
+    """``keep`` and one sparse vector: the ``dense`` columns, then 0/1 places for all but the first level of each wide one.
+
+    ``wide`` maps columns to their :func:`level_table`, which may be another cohort's: levels it does not hold, its
+    first one and NULL are all zeros. Rows meet their places by a join that spreads frequent levels, so no level is
+    written into a plan. Missing dense cells are 0, as in :func:`assemble`.
+    """
+    starts, width = _starts(dense, wide)
+    rows = fill_features(df, dense)
+    cells = [F.struct(F.lit(i).alias("pos"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(dense)]
+    for i, (c, levels) in enumerate(wide.items()):
+        places = levels.filter("pos >= 0").select(F.col("level").alias(f"_level_{i}"), F.col("pos").alias(f"_pos_{i}"))
+        rows = left_join(rows.withColumn(f"_level_{i}", F.col(c).cast("string")), places, [f"_level_{i}"], row_id)
+        hit = F.col(f"_pos_{i}").isNotNull().cast("double")
+        cells.append(F.struct((F.coalesce(f"_pos_{i}", F.lit(0)) + F.lit(starts[c])).alias("pos"), hit.alias("value")))
+    held = rows.withColumn("_cells", F.filter(F.array(*cells), lambda x: x["value"] != 0.0))
+
+    @F.arrow_udf(VectorUDT())
+    def vector(pos: pa.Array, value: pa.Array) -> pa.Array:
+        n = len(pos)
+        kind, size = pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32))
+        return pa.StructArray.from_arrays([kind, size, pos, value], ["type", "size", "indices", "values"])
+
+    # the width alone, not a name for each place
+    about = {"ml_attr": {"num_attrs": width}}
+    return held.select(*keep, vector("_cells.pos", "_cells.value").alias(out, metadata=about))
+
+
+def sparse_cells(c: str) -> Column:
+    """The non-zero places of a sparse vector column as an array of (pos, value), without widening it."""
+
+    @F.arrow_udf("array<struct<pos:int,value:double>>")
+    def cells(vectors: pa.Array) -> pa.Array:
+        pos, value = vectors.field("indices"), vectors.field("values")
+        offsets = np.append(0, np.cumsum(pos.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pos.flatten(), value.flatten()], ["pos", "value"])
+        return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+    return cells(c)
+
+
+def feature_names(spark, dense: Sequence[str], wide: Mapping[str, DataFrame]) -> DataFrame:
+    """``(pos, name)`` of every place of :func:`sparse_features`."""
+    starts, _ = _starts(dense, wide)
+    names = spark.createDataFrame(list(enumerate(dense)), "pos int, name string")
+    for c, levels in wide.items():
+        own = levels.filter("pos >= 0").select((F.col("pos") + starts[c]).alias("pos"), F.concat(F.lit(f"{c}_"), "level").alias("name"))
+        names = names.unionByName(own)
+    return names
 
 
 def common_features(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[str]]:

@@ -296,6 +296,27 @@ def f08(spark, sf):
     return rows.drop("gender", "race")
 
 
+_LEVELS = ", ".join(
+    f"{t} as (select level, row_number() over (order by level) - 2 as pos from (select distinct {c} as level from orders where {c} is not null))"
+    for t, c in (("p", "o_orderpriority"), ("c", "o_custkey::varchar"))
+)
+
+
+@query(
+    "f08_wide_levels",
+    f"with {_LEVELS} select o_orderkey, 0::integer as pos, 'o_totalprice' as name, {R('o_totalprice')} as value from orders where o_totalprice <> 0"
+    " union all select o_orderkey, (1 + pos)::integer, concat('o_orderpriority_', level), 1.0::double from orders join p on level = o_orderpriority where pos >= 0"
+    " union all select o_orderkey, ((select count(*) from p) + pos)::integer, concat('customer_', level), 1.0::double from orders join c on level = o_custkey::varchar where pos >= 0",
+)
+def f08_wide(spark, sf):
+    """Every order's sparse vector with a place for each customer, whose number grows with the tables: its non-zero places."""
+    rows = view(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_custkey").cast("string").alias("customer"))
+    wide = {c: features.level_table(rows, c) for c in ("o_orderpriority", "customer")}
+    vectors = features.sparse_features(rows, ["o_totalprice"], wide, "o_orderkey", ["o_orderkey"])
+    cells = vectors.select("o_orderkey", F.inline(features.sparse_cells("features")))
+    return rounded(cells.join(features.feature_names(spark, ["o_totalprice"], wide), "pos"))
+
+
 SCORES = 100  # components of the complaints' embeddings
 _tables: dict[tuple, matrix.FeatureTable] = {}
 

@@ -3,15 +3,17 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from strataframe.functions import trees
-from strataframe.operators import features, forests, models
+from strataframe.operators import features, forests, matrix, models
 from strataframe.operators.embed import embed_text, hashing_encoder, pca_fit
 from strataframe.operators.evaluate import auroc
 from strataframe.operators.knn import knn_impute
 from strataframe.plans.ledger import fingerprint
 from suite import ALL_QUERIES, features_and_models
+from suite.views import stored_cohort
 
 
 def distances(a, b):
@@ -285,13 +287,54 @@ def test_auroc_properties(separable):
     assert auroc(scores.filter("label = 1")).first()[0] is None
 
 
-def test_one_hot_vector_equals_columns(spark):
-    df = spark.createDataFrame([(i, None if i % 7 == 0 else f"l{i % 5}") for i in range(40)], "id long, c string")
-    names = features.one_hot_names("c", features.sorted_levels(df, "c"))
-    wide = features.one_hot_drop_first(df, "c", features.sorted_levels(df, "c"))
-    want = {r["id"]: [r[n] for n in names] for r in wide.collect()}
-    got = {r["id"]: r["v"].toArray().tolist() for r in features.one_hot_vector(df, "c", "v").collect()}
-    assert got == want
+def test_sparse_features_equal_columns(spark):
+    rows = [(i, None if i % 7 == 0 else f"l{i % 5}", "one", float(i % 3) if i % 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, c string, same string, x double")
+    levels = features.sorted_levels(df, "c")
+    dense = ["x", *features.one_hot_names("c", levels)]
+    columns = features.assemble(features.one_hot_drop_first(df, "c", levels), dense)
+    want = {r["id"]: r["features"].toArray().tolist() for r in columns.collect()}
+    wide = {"c": features.level_table(df, "c"), "same": features.level_table(df, "same")}
+    got = features.sparse_features(df, ["x"], wide, "id", ["id"])
+    assert {r["id"]: r["features"].toArray().tolist() for r in got.collect()} == want
+    assert [r["name"] for r in features.feature_names(spark, ["x"], wide).orderBy("pos").collect()] == dense
+    cells = got.select("id", F.inline(features.sparse_cells("features"))).collect()
+    assert {(r["id"], r["pos"], r["value"]) for r in cells} == {(i, p, v) for i, vs in want.items() for p, v in enumerate(vs) if v}
+    # another cohort's rows: levels unknown to the table are all zeros, and its width stays
+    other = spark.createDataFrame([(1, "l4", 2.0), (2, "new", None), (3, None, float("nan"))], "id long, c string, x double")
+    found = features.sparse_features(other, ["x"], {"c": wide["c"]}, "id", ["id"]).orderBy("id").collect()
+    assert [r["features"].toArray().tolist() for r in found] == [[2.0, 0, 0, 0, 1.0], [0] * 5, [0] * 5]
+    # no rows, no levels
+    empty = {"c": features.level_table(df.limit(0), "c")}
+    assert features.sparse_features(df.limit(0), ["x"], empty, "id", ["id"]).count() == 0
+    assert features.sparse_features(other, ["x"], empty, "id", ["id"]).first()["features"].size == 1
+
+
+def test_wide_levels_stay_out_of_the_plan(spark):
+    """A column with a level for each row: fitted by the classifier, no level in the plan or the vectors' metadata."""
+    n = 20_000
+    df = spark.range(n).select("id", F.concat(F.lit("level"), "id").alias("c"), (F.col("id") % 2).cast("double").alias("label"))
+    wide = {"c": features.level_table(df, "c")}
+    rows = features.sparse_features(df.withColumn("x", F.col("label") * 2), ["x"], wide, "id", ["id", "label"])
+    plan = rows._jdf.queryExecution().toString()
+    assert "level123" not in plan and len(plan) < 50_000
+    assert rows.schema["features"].metadata == {"ml_attr": {"num_attrs": n}}
+    assert rows.select(F.inline(features.sparse_cells("features"))).filter("pos > 0").distinct().count() == n - 1
+    assert VectorAssembler(inputCols=["features", "label"], outputCol="both").transform(rows).first()["both"].size == n + 1
+
+
+def test_feature_table_with_a_wide_column(spark):
+    """Races as a wide domain give the vectors that a column for each of them gives, inside and outside."""
+    inside = stored_cohort(spark, "/root/testdata/sf0.001").withColumnRenamed("ie_label", "label")
+    outside = stored_cohort(spark, "/root/testdata/sf0.001", "external").withColumnRenamed("ie_label", "label")
+    plain, wide = matrix.feature_table(inside), matrix.feature_table(inside, wide=["race"])
+    option = "Option4_No_CC"
+    assert "race" in wide.rows.columns and not any(c.startswith("race_") for c in wide.options[option])
+    names = [r["name"] for r in wide.names(option).orderBy("pos").collect()]
+    assert names == plain.options[option]
+    for a, b in ((plain, wide), (matrix.feature_table(outside, like=plain), matrix.feature_table(outside, like=wide))):
+        want = {r["stay_id"]: r["features"].toArray().round(9).tolist() for r in features.assemble(a.rows, a.options[option]).collect()}
+        assert {r["stay_id"]: r["features"].toArray().round(9).tolist() for r in b.vectors(option).collect()} == want
 
 
 def test_queries_keep_every_component(spark):

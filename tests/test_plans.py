@@ -12,6 +12,7 @@ from strataframe.operators.joins import first_per_key, flag_in_keys, left_dim, r
 from strataframe.operators.sampling import plan_quotas, sample_n
 from strataframe.operators.splits import balanced_weights, pos_weight, stratified_folds
 from strataframe.plans import ordering
+from strataframe.plans.keyfilter import may_hold
 from strataframe.plans.spread import attach_groups, left_join
 
 
@@ -197,3 +198,39 @@ def test_range_ranks_equal_sorting(spark, parts):
         want |= {r[2]: k for k, r in enumerate(mine, 1)}
     assert got == want
     assert ordering.range_rank(df.limit(0), ["g"], [F.col("w")], "at").count() == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 26])
+def test_key_filter_loses_no_row(spark, bits):
+    """Every row with a chosen key stays, few others do where the filter is large enough, and NULL keys go."""
+    wide = spark.range(40_000).select("id", (F.col("id") % 20_000).cast("int").alias("k"), F.when(F.col("id") % 9 > 0, F.col("id") % 7).alias("g"))
+    keys = spark.range(0, 20_000, 20).select(F.col("id").alias("k"), (F.col("id") % 7).alias("g")).unionByName(
+        spark.createDataFrame([(None, 1), (5, None)], "k long, g long")
+    )
+    exact = {r["id"] for r in wide.join(keys, ["k", "g"], "left_semi").collect()}
+    kept = {r["id"] for r in may_hold(wide, keys, ["k", "g"], bits).collect()}
+    assert exact <= kept and wide.filter("g is null and id in (%s)" % ",".join(map(str, sorted(kept)[:5000]))).count() == 0
+    if bits > 1 << 20:
+        assert len(kept - exact) < 0.05 * 40_000
+    assert may_hold(wide, keys.limit(0), ["k"]).count() == 0
+    assert may_hold(wide.limit(0), keys, ["k"]).count() == 0
+
+
+def test_key_filter_comes_before_the_only_exchange(spark):
+    """Keys too many to broadcast: the wide table is exchanged once, by the join, after the filter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = spark.range(5_000).select(F.col("id").alias("k"), F.repeat(F.lit("text"), 10).alias("wide"))
+        keys = spark.range(0, 5_000, 50).select(F.col("id").alias("k"))
+        thin = may_hold(wide, keys, ["k"])
+        main = lambda df: df._jdf.queryExecution().executedPlan().treeString().split("Subquery")[0]
+        assert "Exchange" not in main(thin) and 100 <= thin.count() < 300
+        joined = thin.join(keys, "k")
+        assert joined.count() == 100
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        wide_side = plan[: plan.index("Subquery")] if "Subquery" in plan else plan
+        assert wide_side.count("Exchange") == 1 and wide_side.index("Exchange") < wide_side.index("Filter")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
