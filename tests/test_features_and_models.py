@@ -351,3 +351,40 @@ def test_queries_fit_the_studys_models():
     used = features_and_models.PROFILE
     assert (used.trees, used.tree_depth, used.rounds, used.round_depth) == (500, None, 500, 6)
     assert (used.iterations, used.bins, used.rate, used.inverse_penalty) == (5_000, 256, 0.05, 1.0)
+
+
+def test_packed_trees_are_the_same_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    binned = trees.cut_bins(x, 16)
+    for nodes in (
+        trees.grow_bagged(binned, y, np.ones(200), [4, 5, 6], 1),
+        trees.grow_boosted(binned, y, np.ones(200), 5, 3, 0.1),
+        trees.grow_bagged(binned, np.ones(200), np.ones(200), [0], 1),  # leaves alone
+    ):
+        again = trees.unpacked(trees.packed(nodes))
+        assert len(trees.packed(nodes).cut) + len(trees.packed(nodes).left) == 8 * len(nodes.tree)
+        assert np.array_equal(trees.leaf_values(again, x), trees.leaf_values(nodes, x))
+
+
+def test_a_forest_s_nodes_stay_out_of_the_driver(spark, separable, monkeypatch):
+    """Nodes are stored by the tasks that grow them; a model on the driver is a handful of names, whatever its size."""
+    from pyspark.sql import DataFrame
+
+    def refuse(self):
+        raise AssertionError("nodes were gathered")
+
+    cols = ["a", "b", "c", "d"]
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    profile = models.Profile(trees=60, rounds=5, round_depth=2)
+    for name in models.MODELS[1:]:
+        model = models.fit_trees(name, separable.drop("fold"), cols, profile)
+        assert not any(isinstance(v, (np.ndarray, trees.Nodes)) for v in vars(model).values())
+        monkeypatch.setattr(forests, "BLOCK_ROWS", 50_000)
+        whole = models.score(model, features.assemble(separable, cols)).collect()
+        monkeypatch.setattr(forests, "BLOCK_ROWS", 70)  # several blocks
+        parts = models.score(model, features.assemble(separable, cols)).collect()
+        assert len(whole) == 400 and sorted(whole) == sorted(parts)
+        right = [(r["prob"] > 0.5) == (r["label"] == 1) for r in whole]
+        assert np.mean(right) > 0.8 and sum(models.importance(model)) == pytest.approx(1.0)
