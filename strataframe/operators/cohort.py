@@ -6,7 +6,7 @@ tables, whose rows are first reduced to the chosen keys.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -136,17 +136,29 @@ class HospitalTables:
 
 @dataclass(frozen=True)
 class VisitTables:
-    """Visits with one primary diagnosis each, and a per-patient history of codes."""
+    """Visits with one primary diagnosis each, and a per-patient history of codes.
+
+    Where visits are themselves joined, ``marked`` gives them with a flag of the raw complaint in the complaint's place,
+    found before those joins, so that strata are told without moving texts.
+    """
 
     visits: DataFrame
     history: DataFrame
     names: dict[str, str] = field(default_factory=lambda: dict(EXTERNAL_NAMES))
+    marked: Callable[[Callable[[Column], Column]], DataFrame] | None = None
 
     def mapped(self) -> DataFrame:
         return map_visits(self.visits, self.names)
 
+    def _with_keyword(self, spec: StudySpec) -> DataFrame:
+        """Mapped visits with the flag ``keyword``."""
+        if self.marked is None:
+            return self.mapped().withColumn("keyword", has_keyword("chiefcomplaint", spec.keywords))
+        visits = self.marked(lambda complaint: has_keyword(complaint, spec.keywords))
+        return map_visits(visits, self.names).withColumnRenamed("chiefcomplaint", "keyword")
+
     def strata(self, spec: StudySpec) -> DataFrame:
-        visits = self.mapped()
+        visits = self._with_keyword(spec)
         code = F.col("Code")
         flags = flags_where_any(
             self.history,
@@ -163,7 +175,7 @@ class VisitTables:
             code_in_any(own, spec.case_codes).alias("is_case"),
             or_flags(*[code_prefix_any(c, spec.lookalike_prefixes, spec.strip_dots) for c in own]).alias("lookalike"),
             or_flags(*[code_prefix_any(c, spec.risk_prefixes, spec.strip_dots) for c in own]).alias("risk"),
-            has_keyword("chiefcomplaint", spec.keywords).alias("keyword"),
+            "keyword",
         )
         keys = visits.select("subject_id")
         flagged = left_join(slim, flags, ["subject_id"], "stay_id", hot_from=keys)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataframe.functions.labels import RACE_EXTERNAL
 from strataframe.operators.cohort import Cohort, HospitalTables, StudySpec, VisitTables, build_cohort
@@ -144,7 +145,13 @@ def hospital(spark: SparkSession, sf_dir: str) -> HospitalTables:
 
 
 def visits(spark: SparkSession, sf_dir: str) -> VisitTables:
-    return VisitTables(view(spark, sf_dir, "fx_visits"), view(spark, sf_dir, "fx_history"))
+    def marked(flag: Callable[[Column], Column]) -> DataFrame:
+        """The visits with the flag in the place of the text, which then passes no join."""
+        tables = {t: view(spark, sf_dir, t) for t in tables_of("fx_visits")}
+        tables["documents"] = tables["documents"].withColumn("text", flag(F.col("text")))
+        return spark.sql(VIEWS["fx_visits"], **tables)
+
+    return VisitTables(view(spark, sf_dir, "fx_visits"), view(spark, sf_dir, "fx_history"), marked=marked)
 
 
 def internal(spark: SparkSession, sf_dir: str, spec: StudySpec = BASE_SPEC) -> Cohort:

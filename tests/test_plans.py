@@ -234,3 +234,24 @@ def test_key_filter_comes_before_the_only_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_external_strata_join_a_flag_and_not_the_text(spark, tmp_path):
+    """The keyword is looked up before visits meet their times; strata are those of the whole texts, also of repeated ids."""
+    from dataclasses import replace
+
+    from strataframe.functions.text import has_keyword
+    from suite.views import VISIT_SPEC, visits
+
+    texts = ["the License of it", "nothing", None, "a PASSWORD " * 50, "e-mail", ""]
+    documents = [(i, texts[i % 6], f"src{i % 9}", ("en", "de", "fr", None)[i % 4], 40 + i % 50) for i in range(120)]
+    documents += documents[:10]
+    spark.createDataFrame(documents, "doc_id long, text string, source string, lang string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(150).selectExpr("id as event_id", "timestamp_seconds(id) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(120).selectExpr("id as doc_id", "int(id % 2) as quality", "int(id % 3) as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(60).selectExpr("id as conv_id", "'assistant' as role", "int(id % 9) as turn").write.parquet(f"{tmp_path}/conversations.parquet")
+    tables = visits(spark, str(tmp_path))
+    assert dict(tables.marked(lambda c: has_keyword(c, VISIT_SPEC.keywords)).dtypes)["CC"] == "boolean"
+    found = sorted(map(tuple, tables.strata(VISIT_SPEC).collect()))
+    assert found == sorted(map(tuple, replace(tables, marked=None).strata(VISIT_SPEC).collect()))
+    assert len(found) >= 130 and len({stratum for _, stratum in found}) > 2
