@@ -120,7 +120,8 @@ class HospitalTables:
     def rows(self, spec: StudySpec, chosen: DataFrame) -> DataFrame:
         # wide tables lose the rows of other stays before their only exchange, that of the joins below
         base = materialise(may_hold(self.stays, chosen, ["stay_id"]).join(chosen, "stay_id"), "chosen")
-        vitals = may_hold(self.measurements, base, ["subject_id", "stay_id"])
+        # by the stay alone, which also reaches below a grouping by stay that measurements may come from
+        vitals = may_hold(self.measurements, base, ["stay_id"])
         people = may_hold(self.patients, base, ["subject_id"]).select(
             "subject_id", F.col("gender").alias("_gender"), "anchor_age"
         )

@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BITS_PER_KEY = 16  # with two places a key, one row in seventy passes without a reason
 MAX_BITS = 1 << 26  # 8 MB; beyond four million keys more rows pass, and none is lost
+PART_BITS = 10  # 1,024 words are ordered in one row
+
+
+def _in_order(at: str, value: str) -> Column:
+    """All of a group's values as an array, in the order of ``at``."""
+    return F.sort_array(F.collect_list(F.struct(at, value))).getField(value)
 
 
 def may_hold(df: DataFrame, keys: DataFrame, columns: Sequence[str], max_bits: int = MAX_BITS) -> DataFrame:
@@ -30,8 +36,9 @@ def may_hold(df: DataFrame, keys: DataFrame, columns: Sequence[str], max_bits: i
     marks = at.select(F.shiftright("p", 6).alias("word"), mask.alias("mask"))
     empty = df.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
     words = marks.unionByName(empty).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    ordered = F.array_sort(F.collect_list(F.struct("word", "mask")))  # bits / 64 of them
-    held = words.agg(F.transform(ordered, lambda w: w["mask"]).alias("words")).scalar()
+    # words are put in order part by part, so that the last task only strings the parts together
+    parts = words.groupBy(F.shiftright("word", PART_BITS).alias("part")).agg(_in_order("word", "mask").alias("words"))
+    held = parts.agg(F.flatten(_in_order("part", "words")).alias("words")).scalar()
 
     own = [F.col(f"`{c}`").cast(types[c]) for c in columns]
     present = reduce(lambda a, b: a & b, [c.isNotNull() for c in own])

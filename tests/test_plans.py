@@ -255,3 +255,28 @@ def test_external_strata_join_a_flag_and_not_the_text(spark, tmp_path):
     found = sorted(map(tuple, tables.strata(VISIT_SPEC).collect()))
     assert found == sorted(map(tuple, replace(tables, marked=None).strata(VISIT_SPEC).collect()))
     assert len(found) >= 130 and len({stratum for _, stratum in found}) > 2
+
+
+def test_measurements_lose_other_stays_before_they_are_grouped(spark):
+    """The key filter reaches the rows that measurements are grouped from; pairs that differ in the subject still go."""
+    from strataframe.operators.cohort import HospitalTables, StudySpec
+
+    stays = spark.createDataFrame([(i % 40, i, i, "F", "WHITE") for i in range(200)], "subject_id long, stay_id long, hadm_id long, gender string, race string")
+    raw = spark.createDataFrame([(i % 40 + (i == 10), i, float(v)) for i in range(200) for v in (1, 2)], "subject_id long, stay_id long, x double")
+    measured = raw.groupBy("stay_id").agg(F.max("subject_id").alias("subject_id"), F.max("x").alias("heartrate"))
+    people = spark.range(40).selectExpr("id as subject_id", "'M' as gender", "30.0 as anchor_age")
+    admissions = spark.range(200).selectExpr("id as hadm_id", "'ASIAN' as race")
+    tables = HospitalTables(stays, measured, people, admissions, stays)
+    chosen = spark.range(0, 200, 10).selectExpr("id as stay_id", "1 as ie_label")
+    rows = tables.rows(StudySpec(), chosen)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    grouped = plan[plan.index("max(x#") :]
+    assert "getbit" in grouped[: grouped.index("LogicalRDD")]
+    assert {r["stay_id"]: r["heartrate"] for r in rows.collect()} == {i: None if i == 10 else 2.0 for i in range(0, 200, 10)}
+
+
+def test_key_filter_words_keep_their_order_over_parts(spark):
+    """Words that are ordered in several parts: no key is lost, and few others stay."""
+    keys = spark.range(0, 400_000, 20).select(F.col("id").alias("k"))
+    kept = may_hold(spark.range(400_000).select(F.col("id").alias("k")), keys, ["k"])
+    assert kept.join(keys, "k", "left_semi").count() == 20_000 and kept.count() < 20_000 * 1.4
