@@ -388,3 +388,20 @@ def test_a_forest_s_nodes_stay_out_of_the_driver(spark, separable, monkeypatch):
         assert len(whole) == 400 and sorted(whole) == sorted(parts)
         right = [(r["prob"] > 0.5) == (r["label"] == 1) for r in whole]
         assert np.mean(right) > 0.8 and sum(models.importance(model)) == pytest.approx(1.0)
+
+
+def test_names_of_wide_places_spread_the_place_that_every_row_has(spark, tmp_path):
+    """The join with names is salted: the dense place, which all vectors hold, is no task's alone; the cells are whole."""
+    import re
+
+    rows = [(i, i % 50, float(i % 7), f"{i % 5}-P") for i in range(400)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = ALL_QUERIES["f08_wide_levels"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join .*pos#\d+ = pos#\d+.*_salt#", plan)
+    got = {(r["o_orderkey"], r["name"]): r["value"] for r in found.collect()}
+    customers = sorted({str(c) for _, c, _, _ in rows})
+    want = {(k, "o_totalprice"): v for k, _, v, _ in rows if v}
+    want |= {(k, f"o_orderpriority_{p}"): 1.0 for k, _, _, p in rows if p != "0-P"}
+    want |= {(k, f"customer_{c}"): 1.0 for k, c, _, _ in rows if str(c) != customers[0]}
+    assert got == want
