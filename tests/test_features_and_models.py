@@ -7,11 +7,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from strataframe.functions import trees
-from strataframe.operators import features, forests, matrix, models
+from strataframe.operators import features, forests, knn, matrix, models
 from strataframe.operators.embed import embed_text, hashing_encoder, pca_fit
 from strataframe.operators.evaluate import auroc
 from strataframe.operators.knn import knn_impute
 from strataframe.plans.ledger import fingerprint
+from strataframe.plans.storage import materialise
 from suite import ALL_QUERIES, features_and_models
 from suite.views import stored_cohort
 
@@ -57,6 +58,41 @@ def test_knn_equals_brute_force(spark, block):
     np.testing.assert_allclose(got[cols].to_numpy(float), brute_force(x, 5), rtol=0, atol=1e-12)
 
 
+def _holed(rows: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(rows, 5)) * 6)
+    x[rng.random(x.shape) < 0.12] = np.nan
+    return x
+
+
+@pytest.mark.parametrize("boxes", [1, 4])
+def test_knn_over_many_blocks(spark, boxes):
+    """Receivers whose neighbours lie in several blocks of several boxes, with more leaves than one."""
+    x, cols = _holed(1_500, 5), list("abcde")
+    raw = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(id=range(len(x))))
+    df = raw.select("id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
+    got = knn_impute(df, cols, "id", 5, block_tuples=50, block_boxes=boxes).orderBy("id").toPandas()
+    np.testing.assert_allclose(got[cols].to_numpy(float), brute_force(x, 5), rtol=0, atol=1e-12)
+
+
+def test_knn_visits_few_blocks(spark, monkeypatch):
+    """Rare missing patterns share a block, so a receiver does not visit one block for each of them."""
+    stored = {}
+
+    def keep(df, name="table"):
+        stored[name] = materialise(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(knn, "materialise", keep)
+    x, cols = _holed(1_500, 7), list("abcde")
+    raw = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(id=range(len(x))))
+    df = raw.select("id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
+    knn_impute(df, cols, "id", 5, block_tuples=25).count()
+    cells = int(np.isnan(np.unique(x, axis=0)).sum())
+    assert stored["tuples"].count() > 60 * 20  # so there are far more boxes than visits
+    assert stored["routes"].count() <= 2 * cells
+
+
 def test_knn_column_without_values_stays_missing(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 5.0, None)], "id long, a double, b double")
     rows = {r["id"]: (r["a"], r["b"]) for r in knn_impute(df, ["a", "b"], "id").collect()}
