@@ -146,6 +146,21 @@ def test_pca_scores(spark):
     np.testing.assert_allclose(model.explained_variance, (sizes**2 / (sizes**2).sum())[:3], atol=1e-9)
 
 
+def test_embed_text_holds_few_texts_at_once(spark):
+    """Of a batch of 10,000 texts, only those that are encoded next are Python's objects."""
+
+    def encoder():
+        import sys
+
+        before = sys.getallocatedblocks()
+        return lambda texts: np.full((len(texts), 1), sys.getallocatedblocks() - before)
+
+    texts = spark.range(0, 10_000, 1, 1).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    blocks = embed_text(texts, "t", encoder, batch_size=64).select(F.col("embedding")[0].alias("n"))
+    assert blocks.count() == 10_000
+    assert blocks.agg(F.max("n")).first()[0] < 5_000
+
+
 def test_embedding_reads_whole_texts(spark):
     df = spark.createDataFrame([("a b a",), (None,), (" ".join(["w"] * 500),)], "t string")
     whole = [np.array(r["embedding"]) for r in embed_text(df, "t", hashing_encoder(16)).collect()]
