@@ -257,6 +257,43 @@ def test_external_strata_join_a_flag_and_not_the_text(spark, tmp_path):
     assert len(found) >= 130 and len({stratum for _, stratum in found}) > 2
 
 
+def test_external_rows_move_texts_once(spark, tmp_path):
+    """Visits meet their times without their texts, which pass one exchange; the rows are those of joins with texts, also
+    of repeated ids, of ids whose rows differ in the text alone, and of absent texts and languages."""
+    import json
+    from dataclasses import replace
+
+    from suite.views import VISIT_SPEC, visits
+
+    texts = ["some text", None, "another", ""]
+    documents = [(i, texts[i % 4], f"src{i % 9}", ("en", None)[i % 2], 40 + i % 50) for i in range(80)]
+    documents += documents[:10] + [(3, "in another text alone", "src3", None, 43), (5, texts[1], "src0", "en", 47)]
+    spark.createDataFrame(documents, "doc_id long, text string, source string, lang string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(70).selectExpr("id % 60 as event_id", "timestamp_seconds(id) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(9).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(9).selectExpr("id as conv_id", "'user' as role", "1 as turn").write.parquet(f"{tmp_path}/conversations.parquet")
+    tables = visits(spark, str(tmp_path))
+    chosen = spark.createDataFrame([(i, i % 2) for i in [*range(75), 7, 8]], "stay_id long, ie_label int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide, plain = (t.rows(VISIT_SPEC, chosen) for t in (tables, replace(tables, apart=None)))
+        assert wide.dtypes == plain.dtypes
+        found = sorted(map(repr, wide.collect()))
+        assert found == sorted(map(repr, plain.collect())) and len(found) > 90
+
+        def exchanged(node):
+            own = [json.loads(node.schema().json())] if node.nodeName() == "Exchange" else []
+            children = node.children()
+            return own + [m for i in range(children.size()) for m in exchanged(children.apply(i))]
+
+        moved = [{f["name"]: f["type"] for f in m["fields"]} for m in exchanged(wide._jdf.queryExecution().executedPlan())]
+        assert len(moved) > 4 and sum("string" in (m.get("text"), m.get("chiefcomplaint")) for m in moved) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_measurements_lose_other_stays_before_they_are_grouped(spark):
     """The key filter reaches the rows that measurements are grouped from; pairs that differ in the subject still go."""
     from strataframe.operators.cohort import HospitalTables, StudySpec
