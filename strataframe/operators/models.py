@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -20,7 +20,7 @@ from strataframe.operators.features import WITHOUT, assemble, check_schema, stan
 from strataframe.operators.splits import balanced_weights
 from strataframe.plans.ledger import Ledger, digest, fingerprint
 from strataframe.plans.ordering import next_values, running_totals
-from strataframe.plans.storage import materialise
+from strataframe.plans.storage import fresh_path, materialise
 
 # Model names and seeds of the study.
 MODELS = ("LogisticRegression_L1", "RandomForest", "GradientBoostedTrees")
@@ -54,7 +54,7 @@ class Profile:
 def fit_lr_l1(train: DataFrame, profile: Profile = Profile()) -> Model:
     """L1 logistic regression on all rows, with balanced weights, which add up to the row count."""
     rows = train.count()
-    return LogisticRegression(
+    model = LogisticRegression(
         labelCol="label",
         featuresCol="features",
         weightCol="weight",
@@ -64,6 +64,10 @@ def fit_lr_l1(train: DataFrame, profile: Profile = Profile()) -> Model:
         maxIter=profile.iterations,
         tol=profile.tolerance,
     ).fit(balanced_weights(train, "label"))
+    # read back without its training summary, which holds the session: once that has observed metrics, no task takes it
+    path = fresh_path(train.sparkSession, "logistic")
+    model.save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def l1_violation(train: DataFrame, model: Model, columns: Sequence[str], profile: Profile = Profile()) -> DataFrame:

@@ -456,3 +456,15 @@ def test_names_of_wide_places_spread_the_place_that_every_row_has(spark, tmp_pat
     want |= {(k, f"o_orderpriority_{p}"): 1.0 for k, _, _, p in rows if p != "0-P"}
     want |= {(k, f"customer_{c}"): 1.0 for k, c, _, _ in rows if str(c) != customers[0]}
     assert got == want
+
+
+def test_logistic_scores_after_the_session_observed_metrics(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    train = spark.range(60).select(F.col("id").alias("stay_id"), (F.col("id") % 2).cast("int").alias("label"), F.col("id").cast("double").alias("x"))
+    train = train.withColumn("features", array_to_vector(F.array("x", F.col("x") % 3)))
+    scored = models.score(models.fit_lr_l1(train), train)
+    assert seen.get["n"] == 5 and scored.filter("prob between 0 and 1").count() == 60
