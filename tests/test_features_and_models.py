@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from strataframe.functions import trees
-from strataframe.operators import features, forests, knn, matrix, models
+from strataframe.operators import blocks, features, forests, knn, matrix, models
 from strataframe.operators.embed import embed_text, hashing_encoder, pca_fit
 from strataframe.operators.evaluate import auroc
 from strataframe.operators.knn import knn_impute
@@ -329,6 +329,100 @@ def test_bounded_samples_stand_for_all_rows(spark, separable):
     assert whole == {r["label"]: r["count"] for r in labels} and x.shape == (len(y), 1)
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """12,000 rows of each class, a fold each third row, in 7 partitions."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(24_000, 2)), 1)
+    y = np.argsort(np.argsort(x[:, 0] + rng.normal(size=24_000))) >= 12_000
+    rows = pd.DataFrame({"stay_id": np.arange(24_000), "label": y.astype(int), "fold": np.arange(24_000) % 3, "a": x[:, 0], "b": x[:, 1]})
+    return spark.createDataFrame(rows).repartition(7).cache()
+
+
+@pytest.mark.parametrize("held", [16_000_000, 1_000])
+def test_fits_take_every_row(spark, many, monkeypatch, held):
+    """The first splits are those of all rows, not of a number of rows of each class; of a fold's training rows as well."""
+    monkeypatch.setattr(forests, "HELD_CELLS", held)
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 10_000)  # five blocks
+    pdf = many.toPandas()
+    stump = models.Profile(trees=1, tree_depth=1, bootstrap=False, split_columns=2, rounds=1, round_depth=1)
+
+    def best(rows, a, b, shrink):
+        part = lambda m: a[m].sum() ** 2 / (b[m].sum() + shrink)
+        cuts = [(c, v) for c in ("a", "b") for v in np.unique(rows[c])[:-1]]
+        return max(part(rows[c] <= v) + part(rows[c] > v) - part(rows[c] == rows[c]) for c, v in cuts)
+
+    def judged(name, rows):
+        y = rows["label"].to_numpy()
+        if name == "RandomForest":
+            w = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
+            return 2 * best(rows, w * y, w, 0.0)
+        return best(rows, 0.5 - y, np.full(len(y), 0.25), 1.0)
+
+    for name in models.MODELS[1:]:
+        assert models.fit_trees(name, many.drop("fold"), ["a", "b"], stump).root()[2] == pytest.approx(judged(name, pdf))
+    shared = blocks.training_rows(many, ["a", "b"])
+    for name in models.MODELS[1:]:
+        root = models._fit_trees(name, spark, shared, ["a", "b"], stump, 2).root()
+        assert root[2] == pytest.approx(judged(name, pdf[pdf["fold"] != 2]))
+
+
+def test_trees_over_blocks_are_those_of_one_task(spark, separable, monkeypatch):
+    """Without draws both ways of fitting give the same scores and importances, also of some columns and folds only."""
+    cols, some = ["a", "b", "c", "d", "one"], ["c", "one", "a"]
+    rows = separable.withColumns({"one": F.lit(1.0), "b": F.round("b")})
+    test = features.assemble(rows, some)
+    profile = models.Profile(trees=2, tree_depth=4, bootstrap=False, split_columns=3, rounds=5, round_depth=3, bins=64)
+    found = []
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 300)
+    monkeypatch.setattr(blocks, "TASK_CELLS", 150)
+    monkeypatch.setattr(blocks, "ROUNDS_KEPT", 2)
+    monkeypatch.setattr(blocks, "HANDED_CELLS", 3_000)  # a tree at a time
+    for held in (16_000_000, 100):
+        monkeypatch.setattr(forests, "HELD_CELLS", held)
+        shared = blocks.training_rows(rows, cols)
+        assert isinstance(shared, blocks.Stored) == (held == 100)
+        for name in models.MODELS[1:]:
+            model = models._fit_trees(name, spark, shared, some, profile, 1)
+            scores = {r["stay_id"]: r["prob"] for r in models.score(model, test).collect()}
+            found.append(([scores[i] for i in range(400)], model.importance()))
+    for one, other in ((0, 2), (1, 3)):
+        np.testing.assert_allclose(found[one][0], found[other][0], atol=1e-9)
+        np.testing.assert_allclose(found[one][1], found[other][1], atol=1e-9)
+
+
+def test_forests_over_blocks_grow_until_pure(spark, separable, monkeypatch):
+    """Bootstrapped, whatever the partitions; scored in one pass or many, and by cross-validation."""
+    cols = ["a", "b", "c", "d"]
+    monkeypatch.setattr(forests, "HELD_CELLS", 100)
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 400)
+    monkeypatch.setattr(blocks, "TASK_CELLS", 200)
+    profile = models.Profile(trees=12, rounds=5, round_depth=2, iterations=50)
+    found = []
+    for df, size in ((separable.repartition(7), 10**9), (separable.coalesce(1), 3_000)):
+        model = models.fit_trees("RandomForest", df.drop("fold"), cols, profile)
+        monkeypatch.setattr(forests, "PASS_BYTES", size)
+        assert (len(model._passes()) == 1) == (size == 10**9)
+        found.append(sorted(models.score(model, features.assemble(separable, cols)).collect()))
+        assert sum(model.importance()) == pytest.approx(1.0)
+    assert found[0] == found[1]
+    assert np.mean([(r["prob"] > 0.5) == (r["label"] == 1) for r in found[0]]) > 0.97
+    pure = models.fit_trees("RandomForest", separable.drop("fold"), cols, models.Profile(trees=1, bootstrap=False))
+    assert all(r["prob"] == pytest.approx(r["label"], abs=1e-9) for r in models.score(pure, features.assemble(separable, cols)).collect())
+    preds, imps = models.cross_validate(separable.withColumn("fold", F.col("fold") % 2), {"all": cols}, models.MODELS[1:], 2, profile)
+    assert preds.count() == 800 and preds.select("stay_id", "model").distinct().count() == 800 and imps.count() == 16
+    assert min(r["AUROC"] for r in auroc(preds, ["model"]).collect()) > 0.75
+
+
+@pytest.mark.parametrize("bins", [7, 64])
+def test_bin_edges_over_blocks(spark, bins):
+    rng = np.random.default_rng(bins)
+    x = np.column_stack([rng.normal(size=500), np.round(rng.normal(size=500), 1), np.ones(500), rng.integers(0, bins, 500)])
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=["p", "q", "r", "s"])).repartition(3)
+    for found, edges in zip(blocks.bin_edges(rows, ["p", "q", "r", "s"], bins), trees.cut_bins(x, bins).edges):
+        np.testing.assert_array_equal(found, edges)
+
+
 def test_auroc_properties(separable):
     scores = separable.withColumn("prob", F.round(F.col("a") - F.col("c"), 1))
     area = auroc(scores).first()[0]
